@@ -1,7 +1,97 @@
-"""Placeholder until the stages exist."""
+"""A training corpus from raw documents: clean, distinct, mixed and packed.
 
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept. All but the last return the columns of ``documents``; the last returns the
+pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.llm.mixing import mix
+from loomspark.llm.neardup import near_duplicates
+from loomspark.llm.packing import pack_documents
+from loomspark.llm.passages import dedup_passages, kept_text
+from loomspark.llm.store import Scratch
+from loomspark.llm.toxicity import score, train
 from loomspark.registry import Registry
+from loomspark.sources.tables import read
 
-registry = Registry()
-STAGES = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Refused from this probability on.
+TOXIC = 0.5
+#: Wanted tokens of low quality, as part of those there are; of high quality all are.
+LOW_QUALITY = 0.5
+END_ID = 2
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose compression distance speaks of toxic text go."""
+    model = train(docs, read(spark, sf_dir, "labels"))
+    return score(docs, model).where(F.col("toxicity") < TOXIC).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that with the smallest id, once."""
+    found = near_duplicates(spark, docs)
+    kept = found.where("kept").select("doc_id").distinct()
+    # Rows that share an id are one document to the operator; the first of them stays.
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[str, int, bool]:
+    text = kept_text(raw, spans)
+    return text, len(text), bool(spans)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that stand in an earlier document go; a document without words left goes with them."""
+    schema = [("text", pa.string(), "string"), ("n_chars", pa.int64(), "long"), ("__cut", pa.bool_(), "boolean")]
+    out = dedup_passages(spark, docs, _cut, schema)
+    return out.where(~F.col("__cut") | (F.col("n_chars") > 0)).select(*COLUMNS)
+
+
+def mix_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All of high quality and part of the rest: rates are at most 1, so no document comes twice."""
+    quality = read(spark, sf_dir, "labels").select(
+        "doc_id", F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain")
+    )
+    known = quality.where("domain IS NOT NULL").select("domain").distinct().collect()  # two values at most
+    if len(known) < 2:
+        return docs.select(*COLUMNS)
+    weights = {"high": 1.0, "low": LOW_QUALITY}
+    mixed = mix(spark, docs.select("doc_id", "text"), quality, weights, total=None, max_rate=1.0)
+    kept = mixed.where("copies > 0").select("doc_id")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("passages", drop_repeated_passages),
+    ("mixing", mix_quality),
+    ("packing", pack),
+]
+#: SQL has no compression, fitted rates or packing.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+registry = Registry()
+registry.query("pipeline", ORACLE_SQL)(run)

@@ -160,7 +160,7 @@ def mix(
     docs: DataFrame,
     labelled: DataFrame,
     weights: dict[str, float],
-    total: float = 1.0,
+    total: float | None = 1.0,
     max_rate: float = 4.0,
     max_labelled: int = 20_000,
     seed: int = 7,
@@ -168,16 +168,20 @@ def mix(
     """(doc_id, tokens, posterior map, rate, copies) for each id.
 
     ``weights``: part of the output's tokens by domain, normalized. ``total``: output
-    tokens as a multiple of the input's.
+    tokens as a multiple of the input's; if None, each weight is a multiple of its
+    own domain's expected tokens.
     """
     model = train(docs, labelled, max_labelled)
     shape = "doc_id long, tokens long, posterior map<string,double>, rate double, copies long"
     if model.weights is None:
         return spark.createDataFrame([], shape)
     judged = Scratch(spark, "mixing").keep(posteriors(docs, model), "judged")
-    tokens = judged.agg(F.sum("tokens").alias("n")).first()["n"] or 0
-    parts = sum(weights.values())
-    goal = {d: w / parts * total * tokens for d, w in weights.items()}
+    own = judged.agg(
+        *[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(d) for i, d in enumerate(model.domains)]
+    ).first()
+    mass = {d: own[d] or 0.0 for d in model.domains}
+    parts, tokens = sum(weights.values()), sum(mass.values())
+    goal = {d: w * (mass.get(d, 0.0) if total is None else total * tokens / parts) for d, w in weights.items()}
     steps = fit_rates(judged, model.domains, goal, max_rate)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**31)) / F.lit(float(2**31))
     rated = judged.withColumn("rate", _rate(steps, max_rate))

@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 WINDOW = 20
 #: Bytes of text that are hashed at once; a longer text is a block of its own.
-BLOCK = 4_000_000
+BLOCK = 3_000_000
 NULL_ID = -(2**63)
 
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_CLAIMS = "bucket int, ids binary, ends binary, hashes binary, places binary, mark_ids binary, mark_from binary, mark_to binary"
-_MARKS = "__bucket int, ids binary, from binary, to binary"
+_CLAIMS = "bucket int, ids binary, counts binary, starts binary, hashes binary, mark_ids binary, mark_from binary, mark_to binary"
+_MARKS = "__bucket int, ids binary, from binary, spans binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,14 +129,35 @@ def _runs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Increasing numbers as differences, low and high halves apart: Spark's codec then shrinks the high ones to nothing."""
-    d = np.diff(x, prepend=0).astype(np.uint32)
-    return (d & np.uint32(0xFFFF)).astype("<u2").tobytes() + (d >> np.uint32(16)).astype("<u2").tobytes()
+    """Numbers in planes of bytes: Spark's codec then shrinks the upper planes to nothing."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _unplanes(b: bytes) -> np.ndarray:
-    half = np.frombuffer(b, "<u2").reshape(2, -1).astype(np.int64)
-    return np.cumsum(half[0] | half[1] << 16)
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return _planes(np.diff(x, prepend=0))
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(b))
+
+
+def _pack_places(text: np.ndarray, start: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Windows in order of text and start -> their texts' ids, windows per text, starts."""
+    head = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    gap = np.diff(start, prepend=0)
+    gap[head] = start[head]
+    return _pack(ids[text[head]]), _planes(np.diff(np.r_[head, len(text)])), _planes(gap)
+
+
+def _unpack_places(ids: bytes, counts: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, start = _unplanes(counts), np.cumsum(_unplanes(starts))
+    head = np.r_[0, np.cumsum(n)[:-1]]
+    before = np.r_[0, start][head]  # what the sum had reached when a text began
+    return np.repeat(_unpack(ids), n), start - np.repeat(before, n)
 
 
 def _seven(h: np.ndarray) -> bytes:
@@ -150,10 +171,6 @@ def _unseven(b: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _i64(x: np.ndarray) -> bytes:
-    return x.astype("<i8").tobytes()
-
-
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     ids: list[int] = []
     texts: list[bytes] = []
@@ -182,18 +199,17 @@ def _claims(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
             dup = np.flatnonzero(later)
             dup = dup[np.lexsort((start[dup], own[dup]))]
             marks = _runs(own[dup], start[dup])
-            hashes, at = hashes[~later], at[~later]
+            hashes, text, start = hashes[~later], text[~later], start[~later]
             bucket = ((hashes >> _U(40)) % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            hashes, at, bucket = hashes[order], at[order], bucket[order]
+            hashes, text, start, bucket = hashes[order], text[order], start[order], bucket[order]
             edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)] if len(bucket) else np.zeros(1, np.int64)
-            table = _i64(ids), _i64(w.edges)
             rows = [
-                (int(bucket[a]), *table, _seven(hashes[a:b]), _planes(at[a:b]), b"", b"", b"")
+                (int(bucket[a]), *_pack_places(text[a:b], start[a:b], ids), _seven(hashes[a:b]), b"", b"", b"")
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
             ]
             if len(dup):  # anywhere: marks only pass through
-                rows.append((int(abs(int(ids[0]))) % buckets, b"", b"", b"", b"", *map(_i64, marks)))
+                rows.append((int(ids[0]) % buckets, b"", b"", b"", b"", *map(_pack, marks)))
             if rows:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CLAIMS.split(", ")])
 
@@ -205,13 +221,12 @@ def _count(targets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         h, own, start, marks = [], [], [], []
         for r in claims.itertuples(index=False):
             if r.mark_ids:
-                marks.append([np.frombuffer(x, "<i8") for x in (r.mark_ids, r.mark_from, r.mark_to)])
+                marks.append([_unpack(x) for x in (r.mark_ids, r.mark_from, r.mark_to)])
             if r.hashes:
-                ids, edges, at = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.ends, "<i8"), _unplanes(r.places)
-                text = np.searchsorted(edges, at, side="right") - 1
+                ids, starts = _unpack_places(r.ids, r.counts, r.starts)
                 h.append(_unseven(r.hashes))
-                own.append(ids[text])
-                start.append(at - edges[text])
+                own.append(ids)
+                start.append(starts)
         if h:
             hashes, own, start = np.concatenate(h), np.concatenate(own), np.concatenate(start)
             dup = np.flatnonzero(_later(hashes, own, start))
@@ -221,11 +236,11 @@ def _count(targets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             return pd.DataFrame([], columns=names)
         ids, a, b = (np.concatenate(x) for x in zip(*marks, strict=True))
         to = _target(ids, targets)
-        order = np.argsort(to, kind="stable")
+        order = np.lexsort((a, ids, to))
         ids, a, b, to = ids[order], a[order], b[order], to[order]
         cuts = np.r_[0, np.flatnonzero(np.diff(to)) + 1, len(to)] if len(to) else np.zeros(1, np.int64)
         rows = [
-            (int(to[i]), _i64(ids[i:j]), a[i:j].astype("<i4").tobytes(), b[i:j].astype("<i4").tobytes())
+            (int(to[i]), _pack(ids[i:j]), _pack(a[i:j]), _pack(b[i:j] - a[i:j]))
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
         ]
         return pd.DataFrame(rows, columns=names)
@@ -239,7 +254,7 @@ def _target(ids: np.ndarray, targets: int) -> np.ndarray:
 
 def marks(spark: SparkSession, docs: DataFrame, targets: int, id_col: str, text_col: str) -> DataFrame:
     """Packed intervals of window starts to remove, by document bucket."""
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(_claims(buckets), _CLAIMS).groupBy("bucket").applyInPandas(_count(targets), _MARKS)
 
@@ -314,8 +329,9 @@ def dedup_passages(
         unpack = zstandard.ZstdDecompressor()
         spans: dict[int, list[tuple[int, int]]] = {}
         for r in right.to_pylist():
-            a, b = np.frombuffer(r["from"], "<i4").tolist(), np.frombuffer(r["to"], "<i4").tolist()
-            for i, x, y in zip(np.frombuffer(r["ids"], "<i8").tolist(), a, b, strict=True):
+            a = _unpack(r["from"])
+            b = a + _unpack(r["spans"])
+            for i, x, y in zip(_unpack(r["ids"]).tolist(), a.tolist(), b.tolist(), strict=True):
                 spans.setdefault(i, []).append((x, y))
         rows = []
         for i, t in zip(left.column("__id").to_pylist(), left.column("__text").to_pylist(), strict=True):
