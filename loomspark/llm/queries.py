@@ -8,7 +8,18 @@ from loomspark.registry import Registry
 
 llm = Registry()
 
-_QUERIES = ("q_chat", "q_language", "q_licenses", "q_mixing", "q_mpegts", "q_neardup", "q_packing", "q_passages", "q_toxicity")
+_QUERIES = (
+    "q_chat",
+    "q_language",
+    "q_licenses",
+    "q_mixing",
+    "q_mpegts",
+    "q_neardup",
+    "q_neighbours",
+    "q_packing",
+    "q_passages",
+    "q_toxicity",
+)
 
 for _m in _QUERIES:
     import_module(f"loomspark.llm.{_m}").register(llm)
