@@ -6,7 +6,7 @@ from importlib import import_module
 
 from loomspark.registry import Registry, core
 
-MODULES = ("relational",)
+MODULES = ("retrieval", "timeline")
 
 
 def load() -> Registry:
