@@ -51,6 +51,10 @@ class ChatTemplate:
     )
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        if not (self.open[:1] in ("#", "<") and self.sep[:1] == ":" and self.close[:1] == "<"):
+            raise ValueError("markers must begin with the characters that texts escape: # or <, : and <")
+
 
 #: Each control string above begins with or is cut by one of these.
 _CONTROL = r"([\\#<:])"

@@ -275,6 +275,7 @@ def read_streams(df: DataFrame, media: str, out: str = "stream") -> DataFrame:
     @F.pandas_udf(STREAM)
     def read(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in values:
-            yield pd.DataFrame(list(s.map(parsed).map(lambda d: d or {})), columns=STREAM.names)
+            rows = [parsed(v) or {} for v in s]
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in STREAM.names})
 
     return df.withColumn(out, read(F.col(media)))
