@@ -1,9 +1,9 @@
 """Near-duplicate documents by MinHash bands, odd sketches and a final count on full sets.
 
 1. Tasks make each document's set of word shingles, ``SAMPLES`` MinHash samples
-   of it, their bands, and an odd sketch: the samples folded into a bitmap of
-   parities. Two sketches' XOR counts the samples that differ, most precisely
-   where few do.
+   of it for bands, and an odd sketch: one-permutation MinHash samples, the
+   smallest hash of each of ``BINS`` ranges, folded into a bitmap of parities.
+   Two sketches' XOR counts the samples that differ, most precisely where few do.
 2. Equal sets become one class, of which the smallest id stands for all.
 3. A band bucket links its members to its smallest id, a star and not all pairs.
    Stars that the sketches allow are confirmed on the full sets and joined to
@@ -42,10 +42,10 @@ from loomspark.llm.store import Scratch
 
 BANDS, ROWS = 40, 6
 SAMPLES = BANDS * ROWS
-#: Bits of an odd sketch.
-BITS = 512
-#: How far below the threshold a sketch's estimate may lie: about 4.7 standard deviations at 0.8.
-MARGIN = 0.13
+#: One-permutation samples of an odd sketch, and its bits.
+BINS, BITS = 1024, 4096
+#: How far below the threshold a sketch's estimate may lie, about five standard deviations at 0.8, and samples on top for tiny sets.
+MARGIN, SLACK = 0.07, 3
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2000
 #: Shingles whose samples are drawn at once.
@@ -56,7 +56,6 @@ _U = np.uint64
 _RNG = np.random.default_rng(6)
 _A = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 class ShingleSets:
@@ -111,17 +110,30 @@ def bands(mins: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketches(mins: np.ndarray) -> np.ndarray:
-    """Parity bitmaps, packed: each sample with its number flips one bit."""
-    bit = (mix(mins.astype(np.uint64) | np.arange(SAMPLES, dtype=np.uint64) << _U(32)) % _U(BITS)).astype(np.int64)
-    flips = np.bincount((np.arange(len(mins))[:, None] * BITS + bit).ravel(), minlength=len(mins) * BITS)
-    return np.packbits((flips & 1).astype(np.uint8).reshape(len(mins), BITS), axis=1)
-
-
-def most_differing(threshold: float) -> int:
-    """Bits that two sketches may differ in so that the estimate is the threshold less the margin."""
-    differ = 2 * SAMPLES * (1 - (threshold - MARGIN))
-    return int(np.ceil(BITS / 2 * (1 - (1 - 2 / BITS) ** differ)))
+def odd_sketches(hashes: np.ndarray, edges: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Parity bitmaps, and how many samples each has: bins without a shingle have none."""
+    text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    bins = (hashes >> _U(54)).astype(np.int64)
+    # Hashes are sorted inside a text, so the first of a bin is its smallest.
+    head = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (bins[1:] != bins[:-1])]) if len(text) else np.zeros(0, np.int64)
+    text, bit = text[head], (mix(hashes[head] ^ _U(0xA5A5A5A5)) % _U(BITS)).astype(np.int64)
+    out: list[bytes] = []
+    for at in range(0, len(edges) - 1, 1024):
+        n = min(1024, len(edges) - 1 - at)
+        a, b = np.searchsorted(text, [at, at + n])
+        flips = np.bincount((text[a:b] - at) * BITS + bit[a:b], minlength=n * BITS)
+        out += [r.tobytes() for r in np.packbits((flips & 1).astype(np.uint8).reshape(n, BITS), axis=1)]
+    return out, np.bincount(text, minlength=len(edges) - 1)
+
+
+def near_enough(differ: np.ndarray, size_a, size_b, drawn_a, drawn_b, percent: int) -> np.ndarray:
+    """May sets of these sizes, with so many samples of which so many bits differ, be as similar as ``percent``?"""
+    low = percent / 100 - MARGIN
+    union = (size_a + size_b) / (1 + low)
+    bins = BINS * (1 - np.exp(-union / BINS))
+    most = drawn_a + drawn_b - 2 * low * bins + SLACK
+    apart = -BITS / 2 * np.log(np.maximum(1 - 2 * differ / BITS, 1e-9))
+    return (apart <= most) & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
 
 
 def _grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +145,7 @@ def _grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sign(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n_shingles, digest, bands, sketch) for each row of (id, text)."""
+    """(id, n_shingles, digest, bands, sketch, drawn) for each row of (id, text)."""
 
     def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maker = ShingleSets(words)
@@ -141,7 +153,8 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
             hashes, edges = maker.sets(list(f["text"]))
             n = np.diff(edges)
             mins = samples(hashes, edges)
-            keys, sketch = bands(mins).view(np.int64), odd_sketches(mins)
+            keys = bands(mins).view(np.int64)
+            sketch, drawn = odd_sketches(hashes, edges)
             row = np.cumsum(n > 0) - 1
             digest = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pd.DataFrame(
@@ -150,11 +163,12 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
                     "n_shingles": n,
                     "digest": [d if k else None for d, k in zip(digest, n, strict=True)],
                     "bands": [keys[r] if k else None for r, k in zip(row, n, strict=True)],
-                    "sketch": [sketch[r].tobytes() if k else None for r, k in zip(row, n, strict=True)],
+                    "sketch": sketch,
+                    "drawn": drawn,
                 }
             )
 
-    return docs.mapInPandas(signed, "id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return docs.mapInPandas(signed, "id long, n_shingles long, digest binary, bands array<long>, sketch binary, drawn long")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -168,15 +182,19 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(made, "id long, shingles array<long>")
 
 
-def near_by_sketch(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) whose sketches differ in at most so many bits."""
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"__{c}"))
+def near_by_sketch(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches allow the similarity."""
+    side = lambda c: signed.select(
+        F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("drawn").alias(f"d{c}")
+    )
 
     def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                a, b = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(-1, BITS // 8) for c in ("__a", "__b"))
-                yield f.loc[_ONES[a ^ b].sum(1, dtype=np.int64) <= most, ["a", "b"]]
+                a, b = (np.frombuffer(b"".join(f[c]), np.uint64).reshape(len(f), -1) for c in ("sa", "sb"))
+                differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+                n = [f[c].to_numpy(float) for c in ("na", "nb", "da", "db")]
+                yield f.loc[near_enough(differ, *n, percent), ["a", "b"]]
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(close, "a long, b long").distinct()
 
@@ -230,7 +248,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     return roots.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def across(spark: SparkSession, members: DataFrame, roots: DataFrame, signed: DataFrame, most: int) -> DataFrame:
+def across(spark: SparkSession, members: DataFrame, roots: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket, of different components, near by sketch; each pair from its first common band only."""
     placed = (
         members.join(roots, "id", "left")
@@ -242,11 +260,11 @@ def across(spark: SparkSession, members: DataFrame, roots: DataFrame, signed: Da
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     dealt = (
         placed.join(apart, "bucket", "left_semi")
-        .join(signed.select("id", "bands", "sketch"), "id")
+        .join(signed.select("id", "bands", "sketch", "n_shingles", "drawn"), "id")
         .withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("theirs", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
-            "bucket", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), "mine", "id", "root", "top", "bands", "sketch"
+            "bucket", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), "mine", "id", "root", "top", "bands", "sketch", "n_shingles", "drawn"
         )
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
@@ -259,6 +277,7 @@ def across(spark: SparkSession, members: DataFrame, roots: DataFrame, signed: Da
         right = np.flatnonzero(mine == j)
         sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
         keys = np.stack(g["bands"].to_numpy())
+        size, drawn = g["n_shingles"].to_numpy(float), g["drawn"].to_numpy(float)
         bucket = g["bucket"].iloc[0]
         out = []
         for x in left.tolist():
@@ -266,7 +285,7 @@ def across(spark: SparkSession, members: DataFrame, roots: DataFrame, signed: Da
             if not len(other):
                 continue
             differ = np.bitwise_count(sketch[other] ^ sketch[x]).sum(1, dtype=np.int64)
-            other = other[differ <= most]
+            other = other[near_enough(differ, size[other], size[x], drawn[other], drawn[x], percent)]
             if len(other):
                 common = keys[other] == keys[x]
                 first = keys[x][common.argmax(1)]
@@ -310,14 +329,13 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: its id, n_shingles, component_id and kept."""
     scratch = Scratch(spark, "neardup")
-    most = most_differing(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.keep(sign(texts, words), "signed")
     some = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     classes = scratch.keep(some.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     heads = scratch.keep(
         some.join(classes, (some["digest"] == classes["digest"]) & (some["id"] == classes["rep"]), "left_semi")
-        .select("id", "digest", "bands", "sketch")
+        .select("id", "digest", "n_shingles", "bands", "sketch", "drawn")
         .dropDuplicates(["id", "digest"]),
         "heads",
     )
@@ -326,18 +344,19 @@ def near_duplicates(
     shared = scratch.keep(shared, "shared")
     members = scratch.keep(spread.join(shared, "bucket"), "members")
     stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    near = scratch.keep(near_by_sketch(stars, heads, most), "near")
+    near = scratch.keep(near_by_sketch(stars, heads, percent), "near")
     met = members.select("id").distinct()
     sets = scratch.keep(full_sets(texts.join(met, "id", "left_semi"), words), "sets")
     linked = scratch.keep(confirmed(near, sets, percent), "linked")
     roots = scratch.keep(components(scratch, linked, "first"), "roots")
     # A node of several sets appears once for each in a bucket: one row does for finding pairs.
-    pairs = scratch.keep(across(spark, members, roots, heads, most), "pairs")
+    pairs = scratch.keep(across(spark, members, roots, heads, percent), "pairs")
     more = confirmed(pairs, sets, percent)
     copies = some.join(classes, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     everything = reduce(DataFrame.unionByName, [linked, more, copies.distinct()])
     final = scratch.keep(components(scratch, everything, "final"), "final")
     result = signed.select("id", "n_shingles").join(final, "id", "left").withColumn("component_id", F.coalesce("root", "id"))
-    return result.select(
-        F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept")
-    )
+    kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    told = scratch.keep(result.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept), "result")
+    scratch.drop_all_but("result")
+    return told

@@ -8,9 +8,9 @@
    neighbour meet (joins on node ids), and those of a meeting that are nearer
    than their farthest neighbour so far propose themselves. Only meetings with a
    new edge count.
-4. A query walks the graph from its own node, or from pivots where it has none:
-   the nearest ``BEAM`` nodes so far are expanded until none is new, at most
-   ``WALKS`` times. What it ends with is scored on the original vectors.
+4. A query walks the graph from its own node and that one's neighbours: the
+   nearest ``BEAM`` nodes so far are expanded until none is new, at most ``WALKS``
+   times. What it ends with is scored on the original vectors.
 
 Rounds compare vectors as 8-bit numbers; scores are double precision cosines.
 Meetings are bounded by ``DEGREE + REVERSE``, walks by ``BEAM * DEGREE``.
@@ -40,12 +40,12 @@ DEGREE = 40
 REVERSE = 40
 #: Proposals of one meeting for one node.
 PROPOSALS = 8
-ROUNDS = 5
+ROUNDS = 4
 #: Orders by random projections, and members of a block of one.
 ORDERS = 4
 BLOCK = 200
 BEAM = 100
-WALKS = 4
+WALKS = 3
 
 _EDGES = "a long, b long, near float"
 
@@ -154,7 +154,8 @@ def first_edges(points: DataFrame, order: int, parts: int, dim: int) -> DataFram
 
 def _nearest(edges: DataFrame, most: int) -> DataFrame:
     """(a, b, near, new): each a's nearest; an edge known before is not new."""
-    one = edges.groupBy("a", "b").agg(F.max("near").alias("near"), F.bool_and("new").alias("new"))
+    # Dealt by a once: the aggregate and the rank after it need no shuffle of their own.
+    one = edges.repartition("a").groupBy("a", "b").agg(F.max("near").alias("near"), F.bool_and("new").alias("new"))
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("near"), "b"))
     return one.withColumn("r", rank).where(F.col("r") <= most).drop("r")
 
@@ -283,7 +284,8 @@ def nearest_neighbours(
     asked = rows.where(is_query).select(F.col("id").alias("query_id"), "v")
     queries = asked.select("query_id", "v", F.xxhash64("query_id", "v").alias("q"))
     own = queries.join(distinct.select("v", "node"), "v").select("q", "node")
-    starts = own.join(points.select("node", "code"), "node").select("q", "code", "node")
+    begin = own.unionByName(own.join(graph.select(F.col("a").alias("node"), "b"), "node").select("q", F.col("b").alias("node")))
+    starts = own.join(points.select("node", "code"), "node").select("q", "code").join(begin, "q")
     ends = walk(scratch, graph, points, starts, dim)
     # The exact measure, on the vectors as they came.
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

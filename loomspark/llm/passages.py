@@ -303,7 +303,7 @@ def dedup_passages(
     ``finish(raw, spans)`` gets a whole text and the maximal intervals of its
     words that repeat earlier ones. ``schema``: name, Arrow type and SQL type.
     """
-    targets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    targets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     new = {n for n, _, _ in schema}
     others = [c for c in docs.columns if c != text_col and c not in new]
     kept_types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

@@ -26,14 +26,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, job: str) -> None:
         self.spark = spark
+        self._names: set[str] = set()
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self._names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_all_but(self, *names: str) -> None:
+        for n in self._names - set(names):
+            self.drop(n)
+
     def drop(self, name: str) -> None:
+        self._names.discard(name)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -134,3 +134,49 @@ def word_errors(a: Column, b: Column) -> Column:
         )
 
     return F.element_at(F.aggregate(a, first, row), -1)
+
+
+#: Seconds around a cue in which screen text may repeat it, and the similarity that counts as a repeat.
+NEAR_S, SAME_TEXT = 5.0, 0.8
+
+
+def _grams(text: str) -> set[str]:
+    padded = f"  {text} "
+    return {padded[i : i + 3] for i in range(len(padded) - 2)}
+
+
+def same_text(a: str, b: str) -> bool:
+    """One holds the other, or their trigrams are alike."""
+    if not a or not b:
+        return False
+    x, y = _grams(a), _grams(b)
+    return a in b or b in a or len(x & y) >= SAME_TEXT * len(x | y)
+
+
+def collapse_screen_text(spoken: DataFrame, shown: DataFrame) -> DataFrame:
+    """Merges a video's screen-text hits (t_s, text, score) into the first cue hit that says the same at about the time.
+
+    A cue hit takes one such score, whichever text is longer, and names both
+    sources; screen text without its cue stays a hit of its own. Hits of a video
+    are a capped pool, so a group is small.
+    """
+
+    def merge(cues: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        c = cues.sort_values(["start_s", "cue_id"]).to_dict("records")
+        out = [{**r, "t_s": r["start_s"], "source": "transcript"} for r in c]
+        for line in lines.sort_values(["t_s", "line_id"]).to_dict("records"):
+            said = next(
+                (r for r in out if "start_s" in r and r["start_s"] - NEAR_S <= line["t_s"] <= r["end_s"] + NEAR_S and same_text(r["text"].lower(), line["text"].lower())),
+                None,
+            )
+            if said is None:
+                out.append({**line, "source": "ocr"})
+                continue
+            if said["source"] == "transcript":
+                said["score"] += line["score"]
+                said["source"] = "transcript+ocr"
+            said["text"] = max(said["text"], line["text"], key=len)
+        return pd.DataFrame(out, columns=["video_id", "t_s", "text", "score", "source"])
+
+    shape = "video_id long, t_s double, text string, score double, source string"
+    return spoken.groupBy("video_id").cogroup(shown.groupBy("video_id")).applyInPandas(merge, shape)

@@ -46,3 +46,14 @@ def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = words.join(after, "item_id")
     errors = S.word_errors(F.col("a"), F.col("b"))
     return both.select("item_id", errors.alias("errors"), F.round(errors / F.greatest(F.size("b"), F.lit(1)), 4).alias("wer"))
+
+
+@core.query("ocr_collapse")
+def ocr_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other cue's beginning also stands on the screen, two seconds in."""
+    score = F.round(F.length("text") / 1000, 4)
+    spoken = C.cues(spark, sf_dir).select("video_id", "cue_id", "start_s", "end_s", "text", score.alias("score"))
+    shown = C.cues(spark, sf_dir).where("seq % 2 = 0").select(
+        "video_id", F.col("cue_id").alias("line_id"), (F.col("start_s") + 2).alias("t_s"), F.substring("text", 1, 40).alias("text"), F.lit(0.5).alias("score")
+    )
+    return S.collapse_screen_text(spoken, shown)

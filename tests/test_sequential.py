@@ -79,3 +79,15 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     q.awaitTermination(120)
     latest = budgets.read_latest(spark, str(tmp_path / "out"), ["user_id"], "event_id")
     assert {r["user_id"]: r["event_id"] for r in latest.collect()} == {r[0]: r[1] for r in events.groupBy("user_id").agg({"event_id": "max"}).collect()}
+
+
+def test_screen_text_joins_its_cue(spark):
+    spoken = spark.createDataFrame([(1, 1, 0.0, 4.0, "install the driver", 1.0), (1, 2, 50.0, 54.0, "install the driver", 2.0)], "video_id long, cue_id long, start_s double, end_s double, text string, score double")
+    shown = spark.createDataFrame([(1, 7, 2.0, "Install the driver now", 0.5), (1, 8, 3.0, "install", 0.5), (1, 9, 20.0, "install the driver", 0.5), (2, 1, 0.0, "x", 0.5)], "video_id long, line_id long, t_s double, text string, score double")
+    got = S.collapse_screen_text(spoken, shown).orderBy("video_id", "t_s").collect()
+    assert [(r["t_s"], r["text"], r["score"], r["source"]) for r in got] == [
+        (0.0, "Install the driver now", 1.5, "transcript+ocr"),
+        (20.0, "install the driver", 0.5, "ocr"),
+        (50.0, "install the driver", 2.0, "transcript"),
+        (0.0, "x", 0.5, "ocr"),
+    ]
