@@ -10,8 +10,9 @@
 3. Marks meet their documents, overlapping marked windows merge into maximal
    intervals of words, and the intervals are cut out.
 
-A window counts by its 64-bit hash: among n windows about n*n / 2**65 pairs
-would be taken for equal wrongly (one in 2,000 runs over 140 million windows).
+A window counts by its 64-bit hash, all of which is compared for any number of
+buckets: among n windows about n*n / 2**65 pairs would be taken for equal wrongly
+(one in 2,000 runs over 140 million windows).
 
 Order of windows: by document id, then start. Defined results
 * null text: no words. A text shorter than a window loses nothing.
@@ -160,17 +161,6 @@ def _unpack_places(ids: bytes, counts: bytes, starts: bytes) -> tuple[np.ndarray
     return np.repeat(_unpack(ids), n), start - np.repeat(before, n)
 
 
-def _seven(h: np.ndarray) -> bytes:
-    """The low 56 bits; the upper ones chose the bucket."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-
-
-def _unseven(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
-    return out.view("<u8").reshape(-1)
-
-
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     ids: list[int] = []
     texts: list[bytes] = []
@@ -205,7 +195,7 @@ def _claims(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
             hashes, text, start, bucket = hashes[order], text[order], start[order], bucket[order]
             edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)] if len(bucket) else np.zeros(1, np.int64)
             rows = [
-                (int(bucket[a]), *_pack_places(text[a:b], start[a:b], ids), _seven(hashes[a:b]), b"", b"", b"")
+                (int(bucket[a]), *_pack_places(text[a:b], start[a:b], ids), hashes[a:b].astype("<u8").tobytes(), b"", b"", b"")
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
             ]
             if len(dup):  # anywhere: marks only pass through
@@ -224,7 +214,7 @@ def _count(targets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 marks.append([_unpack(x) for x in (r.mark_ids, r.mark_from, r.mark_to)])
             if r.hashes:
                 ids, starts = _unpack_places(r.ids, r.counts, r.starts)
-                h.append(_unseven(r.hashes))
+                h.append(np.frombuffer(r.hashes, "<u8"))
                 own.append(ids)
                 start.append(starts)
         if h:

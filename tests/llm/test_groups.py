@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -71,6 +72,17 @@ def digest(raw, spans):
     return len(words), len(gone), hashlib.sha256(b" ".join(w for k, w in enumerate(words) if k not in gone)).hexdigest(), passages.kept_text(raw, spans)
 
 
+def test_passages_compare_whole_hashes(monkeypatch):
+    h = np.arange(1, 6, dtype=np.uint64) << np.uint64(40)
+    tops = iter([0, 0x80, 0])
+    monkeypatch.setattr(passages.WindowHasher, "windows", lambda self, w: (h | np.uint64(next(tops) << 56), np.arange(5)))
+    text = " ".join(f"w{i}" for i in range(24))
+    claims = [next(passages._claims(8)(iter([pd.DataFrame({"id": [i], "text": [text]})]))) for i in (1, 2, 3)]
+    found = [passages._count(1)(g) for _, g in pd.concat(claims).groupby("bucket")]
+    marked = [i for f in found for r in f.itertuples(index=False) for i in passages._unpack(r.ids).tolist()]
+    assert marked == [3] * 5  # those of 1, whole; 2 differs in the top byte only
+
+
 def test_passages(spark):
     rows = corpus(random.Random(4))
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
