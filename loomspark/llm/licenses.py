@@ -1,10 +1,11 @@
 """License scans: ordered signature rules over whole texts, in DataFrame functions only.
 
-Each rule has a keyword, a pattern, a label, a priority and a confidence. A
-text is lower-cased once; a rule's pattern runs only where the text holds its
-keyword. A detection goes where another one of at least its priority covers its
-interval, so the specific rule stands over the general one and nothing is
-reported twice.
+Each rule has a keyword, a pattern, a label, a priority and a confidence; a
+rule with a license's name also has keywords for the ways to write that name.
+A text is lower-cased once; a rule's pattern runs only where the text holds its
+keyword and one of its name's, as every match of it does. A detection goes
+where another one of at least its priority covers its interval, so the specific
+rule stands over the general one and nothing is reported twice.
 
 Everything happens inside a row: no shuffle, no state between documents.
 
@@ -32,60 +33,62 @@ class Rule:
     pattern: str
     priority: int
     confidence: float
+    #: Every match holds one of these, if there are any.
+    names: tuple[str, ...] = ()
 
 
-# Labels, the keyword that gates them, and names as licenses write them (regular expressions).
+# Labels, names as licenses write them (regular expressions), and keywords of which each such name holds one.
 _LICENSES = (
-    ("mit", "mit", r"mit|expat"),
-    ("mit-0", "mit", r"mit no attribution|mit-0"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?,? ?(?:version |v\.? ?)?1\.1"),
-    ("apache-2", "apache", r"apache(?: software)?(?: license)?,? ?(?:version |v\.? ?|-)?2(?:\.0)?"),
-    ("bsd-2-clause", "bsd", r"bsd[ -]2[ -]clause|simplified bsd|freebsd"),
-    ("bsd-3-clause", "bsd", r"bsd[ -]3[ -]clause|new bsd|modified bsd|revised bsd"),
-    ("bsd-4-clause", "bsd", r"bsd[ -]4[ -]clause|original bsd"),
-    ("0bsd", "bsd", r"0bsd|zero[ -]clause bsd"),
-    ("gpl-2", "g", r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v\.? ?|-)?2(?:\.0)?(?:-only)?"),
-    ("gpl-3", "g", r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v\.? ?|-)?3(?:\.0)?(?:-only)?"),
-    ("gpl-2-or-later", "g", r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v\.? ?|-)?2(?:\.0)?(?:\+|-or-later|,? or (?:any later|\(at your option\)))"),
-    ("gpl-3-or-later", "g", r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v\.? ?|-)?3(?:\.0)?(?:\+|-or-later|,? or (?:any later|\(at your option\)))"),
-    ("lgpl-2.1", "l", r"(?:gnu )?(?:lgpl|lesser general public license),? ?(?:version |v\.? ?|-)?2\.1"),
-    ("lgpl-3", "l", r"(?:gnu )?(?:lgpl|lesser general public license),? ?(?:version |v\.? ?|-)?3(?:\.0)?"),
-    ("agpl-3", "a", r"(?:gnu )?(?:agpl|affero general public license),? ?(?:version |v\.? ?|-)?3(?:\.0)?"),
-    ("mpl-1.1", "m", r"(?:mpl|mozilla public license),? ?(?:version |v\.? ?|-)?1\.1"),
-    ("mpl-2", "m", r"(?:mpl|mozilla public license),? ?(?:version |v\.? ?|-)?2(?:\.0)?"),
-    ("epl-1", "e", r"(?:epl|eclipse public license),? ?(?:version |v\.? ?|-)?1(?:\.0)?"),
-    ("epl-2", "e", r"(?:epl|eclipse public license),? ?(?:version |v\.? ?|-)?2(?:\.0)?"),
-    ("cddl-1", "c", r"(?:cddl|common development and distribution license),? ?(?:version |v\.? ?|-)?1(?:\.[01])?"),
-    ("eupl-1.2", "eu", r"(?:eupl|european union public licen[sc]e),? ?(?:version |v\.? ?|-)?1\.2"),
-    ("isc", "isc", r"isc"),
-    ("zlib", "zlib", r"zlib(?:/libpng)?"),
-    ("boost-1", "boost", r"boost software(?: license)?,? ?(?:version |v\.? ?|-)?1(?:\.0)?|bsl-1\.0"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtf", r"wtfpl|do what the fuck you want to public license"),
-    ("artistic-2", "artistic", r"artistic(?: license)?,? ?(?:version |v\.? ?|-)?2(?:\.0)?"),
-    ("python-2", "p", r"(?:psf|python software foundation)(?: license)?,? ?(?:version |v\.? ?|-)?2?"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("openssl", "openssl", r"openssl"),
-    ("ofl-1.1", "o", r"(?:ofl|sil open font license),? ?(?:version |v\.? ?|-)?1\.1"),
-    ("cc0-1.0", "cc", r"cc0(?:[ -]1\.0)?|creative commons zero"),
-    ("cc-by", "c", r"(?:cc|creative commons)[ -](?:by|attribution)"),
-    ("cc-by-sa", "c", r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:sa|share[ -]?alike)"),
-    ("cc-by-nc", "c", r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nc|non[ -]?commercial)"),
-    ("cc-by-nd", "c", r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nd|no[ -]?deriv(?:s|ative)s?)"),
-    ("cc-by-nc-sa", "c", r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nc|non[ -]?commercial)[ -](?:sa|share[ -]?alike)"),
-    ("cc-by-nc-nd", "c", r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nc|non[ -]?commercial)[ -](?:nd|no[ -]?deriv(?:s|ative)s?)"),
-    ("proprietary", "propriet", r"proprietary(?: and confidential)?"),
-    ("commercial", "commercial", r"commercial"),
+    ("mit", ("mit", "expat"), r"mit|expat"),
+    ("mit-0", ("mit no attribution", "mit-0"), r"mit no attribution|mit-0"),
+    ("apache-1.1", ("apache",), r"apache(?: software)?(?: license)?,? ?(?:version |v\.? ?)?1\.1"),
+    ("apache-2", ("apache",), r"apache(?: software)?(?: license)?,? ?(?:version |v\.? ?|-)?2(?:\.0)?"),
+    ("bsd-2-clause", ("bsd",), r"bsd[ -]2[ -]clause|simplified bsd|freebsd"),
+    ("bsd-3-clause", ("bsd",), r"bsd[ -]3[ -]clause|new bsd|modified bsd|revised bsd"),
+    ("bsd-4-clause", ("bsd",), r"bsd[ -]4[ -]clause|original bsd"),
+    ("0bsd", ("bsd",), r"0bsd|zero[ -]clause bsd"),
+    ("gpl-2", ("gpl", "general public license"), r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v\.? ?|-)?2(?:\.0)?(?:-only)?"),
+    ("gpl-3", ("gpl", "general public license"), r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v\.? ?|-)?3(?:\.0)?(?:-only)?"),
+    ("gpl-2-or-later", ("gpl", "general public license"), r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v\.? ?|-)?2(?:\.0)?(?:\+|-or-later|,? or (?:any later|\(at your option\)))"),
+    ("gpl-3-or-later", ("gpl", "general public license"), r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v\.? ?|-)?3(?:\.0)?(?:\+|-or-later|,? or (?:any later|\(at your option\)))"),
+    ("lgpl-2.1", ("lgpl", "lesser general public license"), r"(?:gnu )?(?:lgpl|lesser general public license),? ?(?:version |v\.? ?|-)?2\.1"),
+    ("lgpl-3", ("lgpl", "lesser general public license"), r"(?:gnu )?(?:lgpl|lesser general public license),? ?(?:version |v\.? ?|-)?3(?:\.0)?"),
+    ("agpl-3", ("agpl", "affero general public license"), r"(?:gnu )?(?:agpl|affero general public license),? ?(?:version |v\.? ?|-)?3(?:\.0)?"),
+    ("mpl-1.1", ("mpl", "mozilla public license"), r"(?:mpl|mozilla public license),? ?(?:version |v\.? ?|-)?1\.1"),
+    ("mpl-2", ("mpl", "mozilla public license"), r"(?:mpl|mozilla public license),? ?(?:version |v\.? ?|-)?2(?:\.0)?"),
+    ("epl-1", ("epl", "eclipse public license"), r"(?:epl|eclipse public license),? ?(?:version |v\.? ?|-)?1(?:\.0)?"),
+    ("epl-2", ("epl", "eclipse public license"), r"(?:epl|eclipse public license),? ?(?:version |v\.? ?|-)?2(?:\.0)?"),
+    ("cddl-1", ("cddl", "common development and distribution license"), r"(?:cddl|common development and distribution license),? ?(?:version |v\.? ?|-)?1(?:\.[01])?"),
+    ("eupl-1.2", ("eupl", "european union public licen"), r"(?:eupl|european union public licen[sc]e),? ?(?:version |v\.? ?|-)?1\.2"),
+    ("isc", ("isc",), r"isc"),
+    ("zlib", ("zlib",), r"zlib(?:/libpng)?"),
+    ("boost-1", ("boost software", "bsl-1.0"), r"boost software(?: license)?,? ?(?:version |v\.? ?|-)?1(?:\.0)?|bsl-1\.0"),
+    ("unlicense", ("unlicense",), r"(?:the )?unlicense"),
+    ("wtfpl", ("wtfpl", "do what the fuck you want to public license"), r"wtfpl|do what the fuck you want to public license"),
+    ("artistic-2", ("artistic",), r"artistic(?: license)?,? ?(?:version |v\.? ?|-)?2(?:\.0)?"),
+    ("python-2", ("psf", "python software foundation"), r"(?:psf|python software foundation)(?: license)?,? ?(?:version |v\.? ?|-)?2?"),
+    ("postgresql", ("postgresql",), r"postgresql"),
+    ("openssl", ("openssl",), r"openssl"),
+    ("ofl-1.1", ("ofl", "sil open font license"), r"(?:ofl|sil open font license),? ?(?:version |v\.? ?|-)?1\.1"),
+    ("cc0-1.0", ("cc0", "creative commons zero"), r"cc0(?:[ -]1\.0)?|creative commons zero"),
+    ("cc-by", ("cc-", "cc ", "creative commons"), r"(?:cc|creative commons)[ -](?:by|attribution)"),
+    ("cc-by-sa", ("cc-", "cc ", "creative commons"), r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:sa|share[ -]?alike)"),
+    ("cc-by-nc", ("cc-", "cc ", "creative commons"), r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nc|non[ -]?commercial)"),
+    ("cc-by-nd", ("cc-", "cc ", "creative commons"), r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nd|no[ -]?deriv(?:s|ative)s?)"),
+    ("cc-by-nc-sa", ("cc-", "cc ", "creative commons"), r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nc|non[ -]?commercial)[ -](?:sa|share[ -]?alike)"),
+    ("cc-by-nc-nd", ("cc-", "cc ", "creative commons"), r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nc|non[ -]?commercial)[ -](?:nd|no[ -]?deriv(?:s|ative)s?)"),
+    ("proprietary", ("proprietary",), r"proprietary(?: and confidential)?"),
+    ("commercial", ("commercial",), r"commercial"),
 )
 
 #: How texts name a license: keyword, pattern around the name, priority, confidence.
 _FORMS = (
     ("spdx-license-identifier", r"spdx-license-identifier:\s*(?:{name})\b", 5, 1.0),
     ("licens", r"\b(?:re)?licensed\s+(?:to you\s+)?under\s+(?:the\s+)?(?:terms of\s+)?(?:the\s+)?(?:{name})\b", 4, 0.95),
-    ("released under", r"\breleased\s+under\s+(?:the\s+)?(?:{name})\b", 4, 0.95),
-    ("distributed under", r"\bdistributed\s+under\s+(?:the\s+)?(?:{name})\b", 4, 0.95),
-    ("available under", r"\bavailable\s+under\s+(?:the\s+)?(?:{name})\b", 4, 0.9),
-    ("under the", r"\bunder\s+the\s+(?:terms\s+of\s+the\s+)?(?:{name})\s+licen[sc]e\b", 4, 0.9),
+    ("released", r"\breleased\s+under\s+(?:the\s+)?(?:{name})\b", 4, 0.95),
+    ("distributed", r"\bdistributed\s+under\s+(?:the\s+)?(?:{name})\b", 4, 0.95),
+    ("available", r"\bavailable\s+under\s+(?:the\s+)?(?:{name})\b", 4, 0.9),
+    ("licen", r"\bunder\s+the\s+(?:terms\s+of\s+the\s+)?(?:{name})\s+licen[sc]e\b", 4, 0.9),
     ("licen", r"\blicen[sc]e\s*[:=]\s*[\"']?(?:{name})\b", 3, 0.85),
     ("licen", r"\b(?:{name})[ -]licen[sc]ed?\b", 2, 0.8),
     ("licen", r"\blicen[sc]e\s*\(\s*(?:{name})\s*\)", 2, 0.8),
@@ -97,7 +100,7 @@ _PHRASES = (
     Rule("bsd-3-clause", "redistribution and use", r"redistribution and use in source and binary forms", 3, 0.8),
     Rule("isc", "permission to use, copy, modify", r"permission to use, copy, modify,? and(?:/or)? distribute this software", 3, 0.8),
     Rule("gpl", "gnu general public license", r"gnu general public license", 1, 0.7),
-    Rule("cc-by-nc", "cc by nc", r"\bcc\s+by\s+nc\b", 3, 0.9),
+    Rule("cc-by-nc", "cc", r"\bcc\s+by\s+nc\b", 3, 0.9),
     Rule("public-domain", "public domain", r"\b(?:in|into|to) the public domain\b", 2, 0.7),
     Rule("all-rights-reserved", "all rights reserved", r"\ball rights reserved\b", 1, 0.6),
     Rule("copyright", "copyright", r"\bcopyright\s+(?:\(c\)|©)?\s*(?:19|20)\d\d\b", 1, 0.5),
@@ -106,14 +109,14 @@ _PHRASES = (
 
 RULES: tuple[Rule, ...] = (
     *(
-        Rule(label, keyword, pattern.replace("{name}", name), priority, confidence)
-        for label, _, name in _LICENSES
+        Rule(label, keyword, pattern.replace("{name}", name), priority, confidence, names)
+        for label, names, name in _LICENSES
         for keyword, pattern, priority, confidence in _FORMS
     ),
     *_PHRASES,
 )
-#: A license's own keyword, which gates its rules a second time.
-_NAME_KEYWORD = {label: keyword for label, keyword, _ in _LICENSES}
+#: Licenses whose names all hold the same keyword.
+_NAME_KEYWORD = {label: names[0] for label, names, _ in _LICENSES if len(names) == 1}
 
 _OPEN, _SHUT = "\u0001", "\u0002"
 _SPAN = "struct<start:int,stop:int,rule:int,priority:int,label:string,confidence:double>"
@@ -191,18 +194,23 @@ def _uncovered(spans: Column) -> Column:
 
 def scan(df: DataFrame, text: str = "text", out: str = "licenses", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds ``out``: array of kept detections (start, stop, rule, priority, label, confidence), by start."""
-    table = F.array(
-        *[
+    groups: dict[tuple[str, ...], list[Column]] = {}
+    for i, r in enumerate(rules):
+        groups.setdefault(r.names, []).append(
             F.struct(
                 F.lit(i).alias("id"),
                 F.lit(r.label).alias("label"),
                 F.lit(r.keyword).alias("keyword"),
-                F.lit(_NAME_KEYWORD.get(r.label, r.keyword)).alias("name"),
                 F.lit(r.pattern).alias("pattern"),
                 F.lit(r.priority).alias("priority"),
                 F.lit(r.confidence).alias("confidence"),
             )
-            for i, r in enumerate(rules)
+        )
+    # Without names any text will do: every text holds "".
+    table = F.array(
+        *[
+            F.struct(F.array(*map(F.lit, names or ("",))).alias("names"), F.array(*own).alias("rules"))
+            for names, own in groups.items()
         ]
     )
     keywords = sorted({r.keyword for r in rules}, key=len)
@@ -212,7 +220,8 @@ def scan(df: DataFrame, text: str = "text", out: str = "licenses", rules: tuple[
     gate = F.lit(False)
     for k in anchors:
         gate = gate | body.contains(k)
-    live = F.filter(table, lambda r: F.contains(body, r["keyword"]) & F.contains(body, r["name"]))
+    named = F.filter(table, lambda g: F.exists(g["names"], lambda n: F.contains(body, n)))
+    live = F.flatten(F.transform(named, lambda g: F.filter(g["rules"], lambda r: F.contains(body, r["keyword"]))))
     found = _uncovered(F.flatten(F.transform(live, lambda r: _spans(body, r))))
     return (
         df.withColumn("__body", fold(F.coalesce(F.col(text), F.lit(""))))

@@ -61,6 +61,25 @@ def test_license_rules_against_plain_matching(spark):
     assert len(licenses.RULES) > 300
 
 
+def test_license_gates_lose_no_match(spark):
+    names = ["expat", "do what the fuck you want to public license", "bsl-1.0", "creative commons zero", "gnu general public license 2", "lesser general public license 3", "mozilla public license 2", "cc-by", "creative commons attribution-sharealike", "python software foundation"]
+    forms = ["licensed under the {}", "SPDX-License-Identifier: {}", "Released\n under  the {}", "distributed  under {}", "available\tunder the {}", "under\n the terms  of the {} license", "License: {}", "{} licensed", "licence ( {} )"]
+    texts = [f.format(n) for n in names for f in forms] + [
+        "Redistribution and use in source and binary forms, with or without change",
+        "Permission is hereby granted, free of charge, to any person",
+        "Permission to use, copy, modify, and distribute this software",
+        "CC\nBY  NC",
+        "dedicated to the public domain",
+        "Copyright  (c) 1999, under\tthis license",
+    ]
+    got = {r["id"]: [tuple(s)[:4] for s in r["licenses"]] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    over = lambda o, d: o[0] <= d[0] and o[1] >= d[1] and o[3] >= d[3] and (o[:2] != d[:2] or o[3] > d[3] or o[2] < d[2])
+    for i, t in enumerate(texts):
+        found = [(m.start(), m.end(), k, r.priority) for k, r in enumerate(licenses.RULES) for m in re.finditer(r.pattern, t.lower(), re.A)]
+        assert found, t
+        assert sorted(got[i]) == sorted(d for d in found if not any(over(o, d) for o in found if o is not d)), t
+
+
 def test_ngram_counts_and_languages(spark):
     text = "Hello, wörld é a 42 zz9a 日本語"
     want = Counter()
