@@ -5,8 +5,10 @@ A window of a text that shrinks more with the toxic dictionary speaks like toxic
 text; by how many bytes, at most and in sum over the windows, is calibrated to a
 probability.
 
-Training: segments (whole words and word beginnings) are counted by documents
-of each class in Spark. The ordinary dictionary holds what ordinary text has in
+Training: segments (whole words, word beginnings, and pieces of scripts without
+spaces) are counted by documents of each class in Spark, documents that have a
+segment between the same two words as one: copies are no evidence of their own.
+Each segment that tells more than chance is learned, however common others are. The ordinary dictionary holds what ordinary text has in
 common with toxic segments, the toxic one besides that the segments with the
 largest log-odds, the most telling last, where zstandard refers to it most
 cheaply. Calibration takes documents that the dictionaries have not seen.
@@ -25,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,32 +35,35 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a window; windows end at word ends.
 WINDOW = 256
-#: Most bytes of a dictionary's part.
-DICTIONARY = 2048
 #: zstandard refers to so many bytes at least.
 MIN_MATCH = 7
 #: Stands before, between and after words. With it a whole short word is a match, and a chance match inside a word is a long one.
 GAP = b"   "
 PREFIXES = (4, 5, 6, 7, 8)
+#: Letters of a piece of a longer word.
 LONGEST_WORD = 24
-#: A segment teaches only if so many documents of its class have it.
+#: Letters of a piece of a script without spaces; shorter ones are under MIN_MATCH bytes.
+GRAMS = (3, 4, 5)
+#: A segment teaches only if so many documents of its class have it, copies apart.
 LEAST_DOCS = 3
 #: And if it is so many times likelier there than in the other class.
 LEAST_ODDS = 8.0
-#: Log-odds times the root of the documents must reach this, and this part of the best segment's: rare segments tell little.
-LEAST_Z = 9.0
-LEAST_Z_PART = 0.15
+#: And if it would be so likely there by chance at most, with all segments counted together.
+CHANCE = 0.01
 #: A longer segment replaces its own beginning if it tells at least this part as much.
 SAME_Z = 0.8
 #: Part of ordinary documents that makes an infix of a toxic segment common.
 COMMON = 0.002
 
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Thai to Burmese, Khmer, kana, Chinese characters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -81,12 +87,33 @@ def windows(text: str | None) -> list[bytes]:
     return out
 
 
+def _pieces(w: str) -> set[bytes]:
+    """A word with the gaps round it, its beginnings after a gap, and pieces of scripts without spaces."""
+    parts = [w[k : k + LONGEST_WORD].encode(errors="replace") for k in range(0, len(w), LONGEST_WORD)]
+    parts[0] = GAP + parts[0]
+    parts[-1] += GAP
+    out = {p for p in parts if len(p) >= MIN_MATCH}
+    out.update(GAP + w[:k].encode(errors="replace") for k in PREFIXES if len(w) > k)
+    for run in _UNSPACED.findall(w):
+        out.update(run[i : i + n].encode(errors="replace") for n in GRAMS for i in range(len(run) - n + 1))
+    return out
+
+
 def segments(text: str | None) -> set[bytes]:
-    """Words with the gaps round them, and their beginnings after a gap."""
-    out: set[bytes] = set()
-    for w in {w for w in _WORDS.findall((text or "").lower()) if PREFIXES[0] <= len(w) <= LONGEST_WORD}:
-        out.add(GAP + w.encode(errors="replace") + GAP)
-        out.update(GAP + w[:k].encode(errors="replace") for k in PREFIXES if len(w) > k)
+    return set(contexts(text))
+
+
+def contexts(text: str | None) -> dict[bytes, int]:
+    """Segments, each with a hash of the words round its first place: copies of a text have the same."""
+    words = _WORDS.findall((text or "").lower())
+    out: dict[bytes, int] = {}
+    known: set[str] = set()
+    for before, w, after in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
+        if w not in known:
+            known.add(w)
+            at = zlib.crc32(f"{before} {after}".encode(errors="replace"))
+            for p in _pieces(w):
+                out.setdefault(p, at)
     return out
 
 
@@ -115,7 +142,7 @@ class Scorer:
         p = zstandard.ZstdCompressionParameters.from_level(
             1,
             source_size=WINDOW,
-            dict_size=2 * DICTIONARY,
+            dict_size=max(len(content), 8),
             strategy=zstandard.STRATEGY_FAST,
             target_length=1,
             min_match=MIN_MATCH,
@@ -160,19 +187,23 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[fl
 
 
 def _content(counts: pd.DataFrame, n_toxic: int, n_ordinary: int) -> bytes:
-    """The most telling segments of toxic text, none the beginning of another.
+    """All telling segments of toxic text, none the beginning of another.
 
-    A dictionary of few, pure segments matters: zstandard refers to any five
-    bytes of it, and each needless segment adds matches by chance.
+    A dictionary of pure segments matters: zstandard refers to any ``MIN_MATCH``
+    bytes of it, and each needless segment adds matches by chance. A segment is
+    judged by its own counts alone, so a common one never hides a rare one.
     """
     n = counts["toxic"]
     odds = np.log((n + 0.5) / (n_toxic + 1)) - np.log((counts["ordinary"] + 0.5) / (n_ordinary + 1))
-    keep = counts.assign(z=odds * np.sqrt(n))[(odds >= np.log(LEAST_ODDS)) & (n >= LEAST_DOCS)]
-    keep = keep[keep["z"] >= max(LEAST_Z, LEAST_Z_PART * keep["z"].max())]
+    # Chernoff's bound: so many of its documents are toxic by chance with a probability of at most exp(-documents * divergence).
+    both, part = n + counts["ordinary"], n_toxic / (n_toxic + n_ordinary)
+    seen = (n / both).clip(1e-12, 1 - 1e-12)
+    chance = -both * (seen * np.log(seen / part) + (1 - seen) * np.log((1 - seen) / (1 - part)))
+    pure = (odds >= np.log(LEAST_ODDS)) & (n >= LEAST_DOCS) & (chance <= np.log(CHANCE / max(1, len(counts))))
+    keep = counts.assign(z=odds * np.sqrt(n))[pure]
     keep = keep.assign(size=-keep["segment"].map(len)).sort_values(["z", "size", "segment"], ascending=[False, True, True])
     chosen: dict[bytes, float] = {}
     heads: dict[bytes, bytes] = {}  # every beginning of a chosen segment
-    size = 0
     for s, z in zip(keep["segment"].map(bytes), keep["z"], strict=True):
         if s in heads:
             continue
@@ -181,11 +212,7 @@ def _content(counts: pd.DataFrame, n_toxic: int, n_ordinary: int) -> bytes:
             if z < SAME_Z * chosen[inner]:
                 continue
             del chosen[inner]  # the longer one tells as much and shrinks a window more
-            size -= len(inner) + 1
-        if size + len(s) + 1 > DICTIONARY:
-            break
         chosen[s] = z
-        size += len(s) + 1
         heads.update((s[:k], s) for k in range(1, len(s) + 1))
     return b"".join(s + b"|" for s in reversed(chosen))
 
@@ -197,22 +224,30 @@ def _common_infixes(taught: DataFrame, toxic: bytes, n_ordinary: int) -> bytes:
     shrinks a window alike with both, and only whole toxic segments tell.
     """
     segs = [s for s in toxic.split(b"|") if s]
-    infixes = sorted({s[i:j] for s in segs for i in range(len(s)) for j in range(i + MIN_MATCH, len(s) + 1)})
+    infixes = {s[i:j] for s in segs for i in range(len(s)) for j in range(i + MIN_MATCH, len(s) + 1)}
+
+    def held(body: bytes) -> set[bytes]:
+        out: set[bytes] = set()
+        for i in range(len(body) - MIN_MATCH + 1):
+            j = i + MIN_MATCH
+            while j <= len(body) and (x := body[i:j]) in infixes:  # every infix's beginning is one too
+                out.add(x)
+                j += 1
+        return out
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[bytes] = Counter()
         for f in frames:
             for t, label, fold in zip(f["text"], f["__toxic"], f["__fold"], strict=True):
                 if fold and not label:
-                    body = _normal(t)
-                    seen.update(x for x in infixes if x in body)
+                    seen.update(held(_normal(t)))
         yield pd.DataFrame(list(seen.items()), columns=["infix", "n"])
 
     counted = taught.mapInPandas(count, "infix binary, n long").groupBy("infix").agg(F.sum("n").alias("n"))
     common = [(int(r["n"]), bytes(r["infix"])) for r in counted.collect() if r["n"] >= max(1, COMMON * n_ordinary)]
-    # An infix of an infix adds nothing.
-    whole = [(n, x) for n, x in common if not any(x != y and x in y for _, y in common)]
-    return b"|".join(x for _, x in sorted(whole))[-DICTIONARY:] + b"|"
+    # An infix of an infix adds nothing; what is inside a common one is common, so one byte less tells.
+    inner = {y for _, x in common for y in (x[1:], x[:-1])}
+    return b"|".join(x for _, x in sorted(common) if x not in inner) + b"|"
 
 
 def sample(labels: DataFrame, id_col: str, label_col: str, max_toxic: int, max_ordinary: int) -> DataFrame:
@@ -244,21 +279,23 @@ def train(
     taught = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "__id")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = {0: Counter(), 1: Counter()}
+        seen: set[tuple[bytes, int, int]] = set()
         docs_of = Counter()
         for f in frames:
             for t, label, fold in zip(f["text"], f["__toxic"], f["__fold"], strict=True):
                 if fold:
-                    seen[label].update(segments(t))
+                    seen.update((s, label, at) for s, at in contexts(t).items())
                     docs_of[label] += 1
-        rows = [(s, *((n, 0) if label else (0, n))) for label, c in seen.items() for s, n in c.items()]
-        rows.append((b"", docs_of[1], docs_of[0]))
-        yield pd.DataFrame(rows, columns=["segment", "toxic", "ordinary"])
+        whole = [(b"", label, TaskContext.get().partitionId(), n) for label, n in docs_of.items()]
+        yield pd.DataFrame([*((*x, 1) for x in seen), *whole], columns=["segment", "toxic", "at", "n"])
 
+    of = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("n")).otherwise(0))
     summed = (
-        taught.mapInPandas(count, "segment binary, toxic long, ordinary long")
+        taught.mapInPandas(count, "segment binary, toxic int, at long, n long")
+        .groupBy("segment", "toxic", "at")
+        .agg(F.max("n").alias("n"))  # one place, however many copies
         .groupBy("segment")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+        .agg(of(1).alias("toxic"), of(0).alias("ordinary"))
     )
     # Segments of one or two documents teach nothing; the rest are few in a bounded sample.
     counts = summed.where((F.greatest("toxic", "ordinary") >= LEAST_DOCS) | (F.octet_length("segment") == 0)).toPandas()

@@ -125,6 +125,30 @@ def test_toxicity_on_unseen_documents(spark):
     assert toxicity.score(docs, none).agg(F.max("toxicity")).first()[0] < 1e-9
 
 
+def test_toxicity_learns_rare_short_and_unspaced_segments():
+    hot = [(b"   hot   ", 2000, 0)]
+    rare = [(b"   rare%03d   " % i, 15, 0) for i in range(300)]
+    chance = [(b"   chance   ", 3, 0)]
+    counts = toxicity.pd.DataFrame(hot + rare + chance, columns=["segment", "toxic", "ordinary"])
+    told = toxicity._content(counts, 2000, 4000).split(b"|")
+    assert {s for s, _, _ in hot + rare} == set(told) - {b""}
+    assert b"   zog   " in toxicity.segments("a zog here")
+    assert "垃圾人".encode() in toxicity.segments("你是垃圾人吗")
+    long = "x" * 30 + "y" * 30
+    assert b"".join(s for s in (b"   " + b"x" * 24, b"x" * 6 + b"y" * 18, b"y" * 12 + b"   ") if s in toxicity.segments(long)).strip() == long.encode()
+
+
+def test_toxicity_counts_copies_once(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    copied = [word() for _ in range(60)]
+    rows = [(i, " ".join(copied), 1) for i in range(60)] + [(100 + i, " ".join([*(word() for _ in range(9)), "blortface", *(word() for _ in range(9))]), 1) for i in range(60)]
+    rows += [(300 + i, " ".join(word() for _ in range(20)), 0) for i in range(240)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert b"blortface" in model.toxic and not any(w.encode() in model.toxic for w in copied)
+
+
 def test_windows_hold_the_whole_text():
     long = "word " * 3000 + "x" * 5000
     parts = toxicity.windows(long)
