@@ -111,29 +111,26 @@ def token_bucket(requests: DataFrame, key: str, at: str, order: str, capacity: f
     return folded.select(key, F.explode("out").alias("x")).select(key, F.col("x.id").alias(order), F.col("x.allowed").alias("allowed"))
 
 
+def _edits(a: list[str | None], b: list[str | None]) -> int:
+    """Edit distance with two rows of the dynamic program; a null word equals no other."""
+    ids = {w: k for k, w in enumerate(dict.fromkeys(b))}
+    codes = np.array([-2 if w is None else ids[w] for w in b], np.int64)
+    place = np.arange(len(b) + 1)
+    prev = place
+    for k, w in enumerate(a, 1):
+        cur = np.minimum(prev[1:] + 1, prev[:-1] + (codes != (-1 if w is None else ids.get(w, -1))))
+        prev = np.minimum.accumulate(np.r_[k, cur] - place) + place
+    return int(prev[-1])
+
+
 def word_errors(a: Column, b: Column) -> Column:
-    """Edit distance over words, row by row of the dynamic program as a fold over arrays."""
-    n = F.size(b)
-    first = F.sequence(F.lit(0), n)
-
-    def row(prev: Column, word: Column) -> Column:
-        start = F.array(F.element_at(prev, 1) + 1)
-        return F.aggregate(
-            F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-            start,
-            lambda cur, j: F.concat(
-                cur,
-                F.array(
-                    F.least(
-                        F.element_at(cur, -1) + 1,
-                        F.element_at(prev, j + 1) + 1,
-                        F.element_at(prev, j) + F.when(F.element_at(b, j) == word, 0).otherwise(1),
-                    )
-                ),
-            ),
-        )
+    """Edit distance over all words of two arrays; null if either is."""
+
+    @F.pandas_udf("int")
+    def errors(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _edits(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
-    return F.element_at(F.aggregate(a, first, row), -1)
+    return errors(a, b)
 
 
 #: Seconds around a cue in which screen text may repeat it, and the similarity that counts as a repeat.

@@ -41,6 +41,16 @@ def test_words_that_differ(spark):
     assert [r["e"] for r in df.select(S.word_errors(F.col("a"), F.col("b")).alias("e")).collect()] == [plain(a, b) for a, b in rows]
 
 
+def test_wer_compares_whole_passages(spark, tmp_path):
+    from loomspark.plans import catalogue
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:40], "x", *words[41:]])), (2, " ".join(words[:30]))]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["item_id"]: (r["errors"], r["wer"]) for r in catalogue.load().functions()["wer"](spark, str(tmp_path)).collect()}
+    assert got == {0: (1, round(1 / 60, 4)), 1: (30, 1.0)}
+
+
 def test_bucket_and_near_duplicates(spark):
     rows = [(1, t, k) for k, t in enumerate([0, 0, 0, 5, 30, 31, 32])]
     got = S.token_bucket(spark.createDataFrame(rows, "client long, t long, id long"), "client", "t", "id", 2, 0.1).orderBy("id").collect()
