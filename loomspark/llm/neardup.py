@@ -8,14 +8,24 @@
 3. A band bucket links its members to its smallest id, a star and not all pairs.
    Stars that the sketches allow are confirmed on the full sets and joined to
    components.
-4. Where a bucket still holds several components, its members are compared by
-   sketch across components, in blocks of bounded size; only pairs near enough
-   and not yet met in an earlier band come out, and are confirmed on full sets.
+4. Where a bucket still holds several components, tasks compare its members by
+   sketch across components and send on a spanning forest of the pairs that are
+   near enough: at most one row for each member, and every member that has such a
+   pair is in it, together with its partners.
+5. The forests' components are groups that hold all open pairs. Tasks compare a
+   group's members by sketch, then on full sets, join them as they go and send on
+   the confirmed links that joined two components: fewer than there are members.
    No link between different texts that share a bucket is lost.
 
-Two documents at the threshold share no bucket with probability
-``(1 - 0.8**ROWS)**BANDS``, here 5e-6; a sketch underrates such a pair by the
-margin with about as small a probability.
+Buckets and groups over a task's bound (``BLOCK`` members, ``GROUP`` set elements)
+are dealt over tasks as pairs of blocks. Two documents at the threshold share no
+bucket with probability ``(1 - 0.8**ROWS)**BANDS``, here 5e-6; a sketch underrates
+such a pair by the margin with about as small a probability. Sets hold 61-bit
+fingerprints of shingles: two sets of a thousand words differ from their true
+intersection with probability 4e-13.
+
+Joins of many rows with one key, a bucket or a component, have one row for that
+key on the other side and count on Spark's handling of skewed joins.
 
 Defined results
 * null text, or a text without words: the empty set, linked with nothing.
@@ -24,6 +34,8 @@ Defined results
   ``component_id`` null and stays.
 * empty table: no rows. The result has a row for each row and no other columns;
   a caller joins it or filters by it.
+* components that are not settled after ``STEPS`` rounds, each of which halves
+  the longest path or better, raise an error.
 """
 
 from __future__ import annotations
@@ -34,11 +46,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.passages import WindowHasher, mix
 from loomspark.llm.store import Scratch
+from loomspark.llm.words import blocks, mix
 
 BANDS, ROWS = 40, 6
 SAMPLES = BANDS * ROWS
@@ -46,11 +59,14 @@ SAMPLES = BANDS * ROWS
 BINS, BITS = 1024, 4096
 #: How far below the threshold a sketch's estimate may lie, about five standard deviations at 0.8, and samples on top for tiny sets.
 MARGIN, SLACK = 0.07, 3
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 2000
+#: Members of a bucket that one task compares with as many others, by sketch.
+BLOCK = 8000
+#: Set elements of a group that one task compares with as many others.
+GROUP = 2_000_000
 #: Shingles whose samples are drawn at once.
 CHUNK = 100_000
-_TEXT_BYTES = 2_000_000
+TEXT_BYTES = 1_000_000
+STEPS = 60
 
 _U = np.uint64
 _RNG = np.random.default_rng(6)
@@ -58,28 +74,20 @@ _A = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint3
 _B = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 
 
-class ShingleSets:
-    """Distinct shingle hashes of many texts: a sorted run for each text."""
-
-    def __init__(self, words: int) -> None:
-        self.size, self._hasher = words, WindowHasher()
-
-    def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, edges): text i has hashes[edges[i]:edges[i+1]]."""
-        raw = [(t or "").encode(errors="surrogatepass").lower() for t in texts]
-        w = self._hasher.words(raw)
-        hashes, at = self._hasher.windows(w, self.size)
-        owner = np.searchsorted(w.edges, at, side="right") - 1
-        count = np.diff(w.edges)
-        for i in np.flatnonzero((count > 0) & (count < self.size)).tolist():
-            own = w.hashes[w.edges[i] : w.edges[i + 1]]
-            whole = hashlib.blake2b(own.tobytes(), digest_size=8).digest()
-            hashes, owner = np.r_[hashes, np.frombuffer(whole, "<u8")], np.r_[owner, i]
+def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, hashes, edges): text from + i has the distinct, sorted hashes[edges[i]:edges[i+1]]."""
+    for lo, hi, b in blocks(column, TEXT_BYTES, lower=True):
+        hashes, _, owner = b.windows(words)
+        count = np.diff(b.edges)
+        short = np.flatnonzero((count > 0) & (count < words)).tolist()
+        if short:
+            whole = b"".join(b.digest(b.edges[i], b.edges[i + 1])[:8] for i in short)
+            hashes, owner = np.r_[hashes, np.frombuffer(whole, "<u8")], np.r_[owner, short]
         order = np.lexsort((hashes, owner))
         hashes, owner = hashes[order], owner[order]
         new = np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])] if len(hashes) else np.zeros(0, bool)
         hashes, owner = hashes[new], owner[new]
-        return hashes, np.searchsorted(owner, np.arange(len(texts) + 1))
+        yield lo, hi, hashes, np.searchsorted(owner, np.arange(hi - lo + 1))
 
 
 def samples(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -136,50 +144,43 @@ def near_enough(differ: np.ndarray, size_a, size_b, drawn_a, drawn_b, percent: i
     return (apart <= most) & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
 
 
-def _grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames of about ``_TEXT_BYTES`` characters; a longer text stands alone."""
-    for f in frames:
-        size = f["text"].str.len().fillna(0).cumsum() // _TEXT_BYTES
-        for _, part in f.groupby(size, sort=False):
-            yield part
+def _digests(hashes: np.ndarray, edges: np.ndarray) -> list[bytes | None]:
+    """128 bits for each set; none for the empty one."""
+    pairs = zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+    return [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in pairs]
 
 
 def sign(docs: DataFrame, words: int) -> DataFrame:
     """(id, n_shingles, digest, bands, sketch, drawn) for each row of (id, text)."""
+    names = ["id", "n_shingles", "digest", "bands", "sketch", "drawn"]
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, hashes, edges in shingle_sets(batch.column("text"), words):
+                n = np.diff(edges)
+                keys = bands(samples(hashes, edges)).view(np.int64)
+                sketch, drawn = odd_sketches(hashes, edges)
+                digest = _digests(hashes, edges)
+                has = np.zeros(hi - lo + 1, np.int32)
+                has[1:] = np.cumsum(n > 0) * BANDS
+                held = pa.ListArray.from_arrays(pa.array(has), pa.array(keys.reshape(-1)), mask=pa.array(n == 0))
+                columns = [batch.column("id")[lo:hi], pa.array(n), pa.array(digest, pa.binary()), held, pa.array(sketch, pa.binary()), pa.array(drawn)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maker = ShingleSets(words)
-        for f in _grouped(frames):
-            hashes, edges = maker.sets(list(f["text"]))
-            n = np.diff(edges)
-            mins = samples(hashes, edges)
-            keys = bands(mins).view(np.int64)
-            sketch, drawn = odd_sketches(hashes, edges)
-            row = np.cumsum(n > 0) - 1
-            digest = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pd.DataFrame(
-                {
-                    "id": f["id"].array,
-                    "n_shingles": n,
-                    "digest": [d if k else None for d, k in zip(digest, n, strict=True)],
-                    "bands": [keys[r] if k else None for r, k in zip(row, n, strict=True)],
-                    "sketch": sketch,
-                    "drawn": drawn,
-                }
-            )
-
-    return docs.mapInPandas(signed, "id long, n_shingles long, digest binary, bands array<long>, sketch binary, drawn long")
+    return docs.mapInArrow(signed, "id long, n_shingles long, digest binary, bands array<long>, sketch binary, drawn long")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maker = ShingleSets(words)
-        for f in _grouped(frames):
-            hashes, edges = maker.sets(list(f["text"]))
-            sets = [hashes[a:b].view(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pd.DataFrame({"id": f["id"].array, "shingles": sets})
+    """(id, digest, shingles) for each row of (id, text)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, hashes, edges in shingle_sets(batch.column("text"), words):
+                held = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                digest = pa.array(_digests(hashes, edges), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], digest, held], names=["id", "digest", "shingles"])
 
-    return docs.mapInPandas(made, "id long, shingles array<long>")
+    return docs.mapInArrow(made, "id long, digest binary, shingles array<long>")
 
 
 def near_by_sketch(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -216,13 +217,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(id, root): each node of ``edges`` (a, b) with the smallest id it reaches.
 
-    Stars are rewritten towards smaller ids until nothing changes; a hub's edges
-    are aggregated before they are joined, and every round is a written table.
+    Stars are rewritten towards smaller ids until nothing changes; every round is
+    a written table.
     """
     now = scratch.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"
     )
-    for k in range(1, 60):
+    for k in range(1, STEPS):
         # Large star: all larger neighbours of a node to its smallest one.
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -244,12 +245,61 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
             break
         scratch.drop(f"{name}-{k - 1}")
         now = after
+    else:
+        raise RuntimeError(f"components are not settled after {STEPS} rounds")
     roots = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def across(spark: SparkSession, members: DataFrame, roots: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components, near by sketch; each pair from its first common band only."""
+def dealt(rows: DataFrame, key: str, size: Column, seed: int, tasks: int) -> DataFrame:
+    """Rows of a key in blocks, so many as ``size`` says; a row goes to each pair (i, j) of its own block and another."""
+    out = rows.withColumn("blocks", F.greatest(F.ceil(size), F.lit(1)).cast("int"))
+    out = out.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(seed)), "blocks").cast("int"))
+    out = out.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    out = out.withColumn("i", F.least("mine", "theirs")).withColumn("j", F.greatest("mine", "theirs"))
+    return out.drop("blocks", "theirs").repartition(tasks, key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _keyed(frames: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows of one key after another; the last of a frame may go on in the next."""
+    rest: list[pd.DataFrame] = []
+    for f in frames:
+        if not len(f):
+            continue
+        k = f[key].to_numpy()
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(f)], strict=True):
+            part = f.iloc[a:b]
+            if rest and (rest[0][key].iloc[0].to_numpy() != k[a]).any():
+                yield pd.concat(rest) if len(rest) > 1 else rest[0]
+                rest = []
+            rest.append(part)
+    if rest:
+        yield pd.concat(rest) if len(rest) > 1 else rest[0]
+
+
+class _Block:
+    """Members of a key's blocks i and j: which others may x be linked with?"""
+
+    def __init__(self, g: pd.DataFrame, percent: int) -> None:
+        self.ids, self.label = g["id"].to_numpy(), g["root"].to_numpy().copy()
+        self.sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+        self.size, self.drawn = g["n_shingles"].to_numpy(float), g["drawn"].to_numpy(float)
+        self.percent = percent
+        mine = g["mine"].to_numpy()
+        self.left, self.right = np.flatnonzero(mine == g["i"].iloc[0]), np.flatnonzero(mine == g["j"].iloc[0])
+
+    def near(self, x: int, others: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(self.sketch[others] ^ self.sketch[x]).sum(1, dtype=np.int64)
+        return others[near_enough(differ, self.size[others], self.size[x], self.drawn[others], self.drawn[x], self.percent)]
+
+    def join(self, x: int, y: int) -> tuple[int, int]:
+        self.label[self.label == self.label[y]] = self.label[x]
+        return min(self.ids[x], self.ids[y]), max(self.ids[x], self.ids[y])
+
+
+def open_pairs(spark: SparkSession, members: DataFrame, roots: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Of pairs that share a bucket, are of different components and near by sketch: a spanning forest for each pair of blocks."""
     placed = (
         members.join(roots, "id", "left")
         .withColumn("root", F.coalesce("root", "id"))
@@ -257,66 +307,56 @@ def across(spark: SparkSession, members: DataFrame, roots: DataFrame, signed: Da
         .withColumn("top", F.coalesce("top", "leader"))
     )
     apart = placed.where("root <> top").select("bucket").distinct()
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    dealt = (
-        placed.join(apart, "bucket", "left_semi")
-        .join(signed.select("id", "bands", "sketch", "n_shingles", "drawn"), "id")
-        .withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("theirs", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            "bucket", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), "mine", "id", "root", "top", "bands", "sketch", "n_shingles", "drawn"
-        )
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
-        .sortWithinPartitions("bucket", "i", "j")
+    rows = placed.join(apart, "bucket", "left_semi").join(signed.select("id", "sketch", "n_shingles", "drawn"), "id")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = dealt(rows.drop("leader"), "bucket", F.col("n") / BLOCK, 0, tasks)
+
+    def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _keyed(frames, ["bucket", "i", "j"]):
+            b = _Block(g, percent)
+            root, minor = g["root"].to_numpy(), (g["root"] != g["top"]).to_numpy()
+            b.label = np.arange(len(g))  # of the forest so far
+            out = []
+            # Each pair has a member outside the leader's component; from there it is looked at.
+            for x in np.flatnonzero(minor).tolist():
+                side = b.right if g["mine"].iloc[x] == g["i"].iloc[0] else b.left
+                for y in b.near(x, side[(root[side] != root[x]) & (b.label[side] != b.label[x])]).tolist():
+                    if b.label[x] != b.label[y]:
+                        out.append(b.join(x, y))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return spread.mapInPandas(forest, "a long, b long").distinct()
+
+
+def linked_in_groups(spark: SparkSession, groups: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that join the components of each group (id, root as ``group``)."""
+    rows = (
+        groups.join(roots, "id", "left")
+        .withColumn("root", F.coalesce("root", "id"))
+        .join(signed.select("id", "sketch", "n_shingles", "drawn", "digest"), "id")
+        .join(sets, ["id", "digest"])
     )
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = g["i"].iloc[0], g["j"].iloc[0]
-        mine, ids, root, minor = (g[c].to_numpy() for c in ("mine", "id", "root", "minor"))
-        left = np.flatnonzero(mine == i)
-        right = np.flatnonzero(mine == j)
-        sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
-        keys = np.stack(g["bands"].to_numpy())
-        size, drawn = g["n_shingles"].to_numpy(float), g["drawn"].to_numpy(float)
-        bucket = g["bucket"].iloc[0]
-        out = []
-        for x in left.tolist():
-            other = right[(root[right] != root[x]) & (minor[right] | minor[x]) & ((ids[right] > ids[x]) if i == j else True)]
-            if not len(other):
-                continue
-            differ = np.bitwise_count(sketch[other] ^ sketch[x]).sum(1, dtype=np.int64)
-            other = other[near_enough(differ, size[other], size[x], drawn[other], drawn[x], percent)]
-            if len(other):
-                common = keys[other] == keys[x]
-                first = keys[x][common.argmax(1)]
-                out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in other[first == bucket].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Groups lie one after another; the last of a frame may go on in the next.
-        rest: list[pd.DataFrame] = []
-        key = ["bucket", "i", "j"]
-        for f in frames:
-            f["minor"] = f["root"] != f["top"]
-            k = f[key].to_numpy()
-            if not len(k):
-                continue
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-            parts = [f.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(f)], strict=True)]
-            if rest and (rest[0][key].iloc[0].to_numpy() != k[0]).any():
-                yield compare(pd.concat(rest))
-                rest = []
-            if rest and len(parts) > 1:
-                yield compare(pd.concat([*rest, parts[0]]))
-                rest, parts = [], parts[1:]
-            done = [compare(p) for p in parts[:-1] if len(p) > 1]
-            if done:
-                yield pd.concat(done)
-            rest.append(parts[-1])
-        if rest:
-            yield compare(pd.concat(rest))
-
-    return dealt.mapInPandas(scan, "a long, b long").distinct()
+    sizes = groups.join(signed.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id").groupBy("group").agg(F.sum("n").alias("total"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = dealt(rows.join(sizes, "group").drop("digest"), "group", F.col("total") / GROUP, 1, tasks)
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _keyed(frames, ["group", "i", "j"]):
+            b = _Block(g, percent)
+            held = [np.asarray(s) for s in g["shingles"]]
+            out = []
+            for x in b.left.tolist():
+                for y in b.near(x, b.right[b.label[b.right] != b.label[x]]).tolist():
+                    if b.label[x] == b.label[y]:
+                        continue
+                    both = len(np.intersect1d(held[x], held[y], assume_unique=True))
+                    if 100 * both >= percent * (len(held[x]) + len(held[y]) - both):
+                        out.append(b.join(x, y))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return spread.mapInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -349,9 +389,9 @@ def near_duplicates(
     sets = scratch.keep(full_sets(texts.join(met, "id", "left_semi"), words), "sets")
     linked = scratch.keep(confirmed(near, sets, percent), "linked")
     roots = scratch.keep(components(scratch, linked, "first"), "roots")
-    # A node of several sets appears once for each in a bucket: one row does for finding pairs.
-    pairs = scratch.keep(across(spark, members, roots, heads, percent), "pairs")
-    more = confirmed(pairs, sets, percent)
+    pairs = scratch.keep(open_pairs(spark, members, roots, heads, percent), "pairs")
+    groups = scratch.keep(components(scratch, pairs, "groups").withColumnRenamed("root", "group"), "groups")
+    more = scratch.keep(linked_in_groups(spark, groups, roots, heads, sets, percent), "more")
     copies = some.join(classes, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     everything = reduce(DataFrame.unionByName, [linked, more, copies.distinct()])
     final = scratch.keep(components(scratch, everything, "final"), "final")

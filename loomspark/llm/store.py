@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Ends the files of a shuffle with the query that made them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (one machine, as in tests) gets a
+    temporary folder; on a cluster this raises, as executors don't share one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="loomspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="loomspark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
@@ -21,18 +32,26 @@ class Scratch:
     """Written tables of one job.
 
     ``keep`` writes a table and reads it back, so a lost executor costs a read
-    and not the jobs behind it. ``drop`` deletes a table that no later step reads.
+    and not the jobs behind it, and lets go of the shuffles behind it. ``drop``
+    deletes a table that no later step reads; tables that a returned DataFrame
+    still reads go when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, job: str) -> None:
         self.spark = spark
         self._names: set[str] = set()
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
+        atexit.register(self._end)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         self._names.add(name)
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop_all_but(self, *names: str) -> None:
@@ -41,6 +60,14 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         self._names.discard(name)
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        self._delete(f"{self.root}/{name}")
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _end(self) -> None:
+        try:
+            self._delete(self.root)
+        except Exception:  # noqa: BLE001 - the session has ended: nothing can be deleted through it
+            pass

@@ -7,11 +7,10 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 
-from loomspark.llm import mixing, neardup, neighbours, passages
+from loomspark.llm import mixing, neardup, neighbours, passages, words
 
 
 def corpus(rng, n=150):
@@ -58,6 +57,45 @@ def test_near_duplicates(spark):
     assert got[900]["component_id"] == 900 and got[900]["kept"]
 
 
+def brute_components(rows, size=4):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if b < a and find(a) != find(b):
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """700 copies of one text, 0.6 to 0.95 alike, in blocks of 64: more than one block, and several components."""
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    monkeypatch.setattr(neardup, "GROUP", 10_000)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for k in rng.sample(range(100), rng.choice([1, 2, 3, 5])):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    want = brute_components(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 5
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     text = " ".join(f"a{i}" for i in range(50))
     docs = spark.createDataFrame([(5, text), (5, text), (5, "other words here now and then"), (9, text), (None, text)], "doc_id long, text string")
@@ -72,24 +110,13 @@ def digest(raw, spans):
     return len(words), len(gone), hashlib.sha256(b" ".join(w for k, w in enumerate(words) if k not in gone)).hexdigest(), passages.kept_text(raw, spans)
 
 
-def test_passages_compare_whole_hashes(monkeypatch):
-    h = np.arange(1, 6, dtype=np.uint64) << np.uint64(40)
-    tops = iter([0, 0x80, 0])
-    monkeypatch.setattr(passages.WindowHasher, "windows", lambda self, w: (h | np.uint64(next(tops) << 56), np.arange(5)))
-    text = " ".join(f"w{i}" for i in range(24))
-    claims = [next(passages._claims(8)(iter([pd.DataFrame({"id": [i], "text": [text]})]))) for i in (1, 2, 3)]
-    found = [passages._count(1)(g) for _, g in pd.concat(claims).groupby("bucket")]
-    marked = [i for f in found for r in f.itertuples(index=False) for i in passages._unpack(r.ids).tolist()]
-    assert marked == [3] * 5  # those of 1, whole; 2 differs in the top byte only
+SCHEMA = [("n", pa.int64(), "long"), ("gone", pa.int64(), "long"), ("sha", pa.string(), "string"), ("kept", pa.string(), "string")]
 
 
-def test_passages(spark):
-    rows = corpus(random.Random(4))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
-    schema = [("n", pa.int64(), "long"), ("gone", pa.int64(), "long"), ("sha", pa.string(), "string"), ("kept", pa.string(), "string")]
-    got = {r["doc_id"]: r for r in passages.dedup_passages(spark, docs, digest, schema).collect()}
-    seen = set()
-    for i, t, _ in rows:
+def without_repeats(rows):
+    """id -> (words, removed, digest), by brute force."""
+    seen, out = set(), {}
+    for i, t, *_ in sorted(rows):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         cut = [False] * len(w)
         for k in range(len(w) - 19):
@@ -97,18 +124,66 @@ def test_passages(spark):
             if key in seen:
                 cut[k : k + 20] = [True] * 20
             seen.add(key)
-        kept = [x for x, c in zip(w, cut, strict=True) if not c]
-        r = got[i]
-        assert (r["n"], r["gone"], r["sha"]) == (len(w), sum(cut), hashlib.sha256(" ".join(kept).encode()).hexdigest())
-        assert r["kept"].split() == kept
-    assert passages.dedup_passages(spark, docs.limit(0), digest, schema).count() == 0
+        kept = " ".join(x for x, c in zip(w, cut, strict=True) if not c)
+        out[i] = (len(w), sum(cut), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("bits", [64, 6])
+def test_equal_hashes_remove_nothing(spark, bits):
+    """With 6 bits nearly every hash is shared by windows of other words."""
+    rows = corpus(random.Random(8), 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
+    got = passages.dedup_passages(spark, docs, digest, SCHEMA, hash_bits=bits).collect()
+    assert {r["doc_id"]: (r["n"], r["gone"], r["sha"]) for r in got} == without_repeats(rows)
+
+
+def test_words_whose_polynomials_are_equal_modulo_powers_of_two(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{word} {tail}"), (2, f"{word.translate(str.maketrans('ab', 'ba'))} {tail}")], "doc_id long, text string")
+    assert [r["gone"] for r in passages.dedup_passages(spark, docs, digest, SCHEMA).collect()] == [0, 0]
+
+
+def test_fingerprints_are_polynomials_modulo_a_prime():
+    h = np.random.default_rng(1).integers(0, 2**64, 40, dtype=np.uint64)
+    h[:3] = [words.PRIME - 1, words.PRIME, 2**64 - 1]
+    for size in (1, 2, 3, 4, 5, 20):
+        base = words.BASES[0]
+        want = [sum(int(h[k + j]) * pow(base, size - 1 - j, words.PRIME) for j in range(size)) % words.PRIME for k in range(41 - size)]
+        assert (words.fingerprints(h, size, base) == words.mix(np.array(want, np.uint64))).all()
+
+
+def test_passages_with_clashing_columns(spark):
+    text = " ".join(f"a{i}" for i in range(30))
+    rows = [(1, text, "x", 1, 2), (2, text, None, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, kind int, row int")
+    got = passages.dedup_passages(spark, docs, digest, SCHEMA).collect()
+    assert sorted((r["doc_id"], r["id"], r["kind"], r["row"], r["gone"]) for r in got) == [(1, "x", 1, 2, 0), (2, None, 3, None, 30)]
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b)], "doc_id long, text string")
+    got = passages.dedup_passages(spark, docs, digest, SCHEMA).collect()
+    assert sorted((r["doc_id"], r["gone"]) for r in got) == [(1, 0), (5, 0), (5, 40), (7, 40)]
+
+
+def test_passages(spark):
+    rows = corpus(random.Random(4))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = {r["doc_id"]: r for r in passages.dedup_passages(spark, docs, digest, SCHEMA).collect()}
+    assert {i: (r["n"], r["gone"], r["sha"]) for i, r in got.items()} == without_repeats(rows)
+    assert all(hashlib.sha256(" ".join(r["kept"].split()).encode()).hexdigest() == r["sha"] for r in got.values())
+    assert passages.dedup_passages(spark, docs.limit(0), digest, SCHEMA).count() == 0
 
 
 def test_rows_of_one_id_are_no_copies_of_each_other(spark):
     text = " ".join(f"a{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
-    schema = [("n", pa.int64(), "long"), ("gone", pa.int64(), "long"), ("sha", pa.string(), "string"), ("kept", pa.string(), "string")]
-    got = sorted((str(r["doc_id"]), r["gone"]) for r in passages.dedup_passages(spark, docs, digest, schema).collect())
+    got = sorted((str(r["doc_id"]), r["gone"]) for r in passages.dedup_passages(spark, docs, digest, SCHEMA).collect())
     assert got == [("1", 30), ("1", 30), ("None", 0)]
 
 
