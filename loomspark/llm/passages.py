@@ -398,7 +398,8 @@ def dedup_passages(
             yield pa.RecordBatch.from_arrays([row, *arrays], names=["row", *(f"n{k}" for k in range(len(schema)))])
 
     shape = ", ".join([f"row {row_type}", *(f"n{k} {t}" for k, (_, _, t) in enumerate(schema))])
-    done = stream.mapInArrow(cut, shape)
+    done = scratch.keep(stream.mapInArrow(cut, shape), "result")
+    scratch.drop_all_but("result")
     return done.select(
         *[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(others)], *[F.col(f"n{k}").alias(n) for k, (n, _, _) in enumerate(schema)]
     )

@@ -8,8 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Ends the files of a shuffle with the query that made them.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For the time of a write: a shuffle's files end with the query that made them, and Python tasks get
+#: rows in small batches, as a row here may be a whole text or thousands of packed hashes.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +50,14 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         self._names.add(name)
-        before = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
+        before = {k: self.spark.conf.get(k) for k in _SETTINGS}
+        for k, v in _SETTINGS.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop_all_but(self, *names: str) -> None:
