@@ -40,12 +40,12 @@ from loomspark.llm.store import Scratch
 from loomspark.llm.words import DIGEST, Block, blocks, mix
 
 WINDOW = 20
-#: Bytes of text that are hashed at once; a longer text is a block of its own.
-BLOCK = 1_000_000
+#: Bytes of text that are hashed at once, more where there are many groups; a longer text is a block of its own.
+BLOCK, LARGEST_BLOCK, BLOCK_BYTES_PER_GROUP = 1_000_000, 4_000_000, 400
 #: Bytes of text whose windows, or whose marks, make a group.
-GROUP = 8_000_000
+GROUP = 4_000_000
 #: Groups of a task.
-GROUPS_PER_TASK = 8
+GROUPS_PER_TASK = 16
 NULL_ID = -(2**63)
 
 _U = np.uint64
@@ -148,9 +148,10 @@ def _repeats_in(b: Block, ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, t
 
 def _claims(parts: int, mask: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = min(LARGEST_BLOCK, max(BLOCK, parts * BLOCK_BYTES_PER_GROUP))
         for batch in batches:
             every = _ids(batch.column("id"))
-            for lo, hi, b in blocks(batch.column("text"), BLOCK):
+            for lo, hi, b in blocks(batch.column("text"), size):
                 ids = every[lo:hi]
                 hashes, at, text = b.windows(WINDOW)
                 hashes = hashes & _U(mask)
@@ -250,8 +251,11 @@ def candidate_runs(texts: DataFrame, n_bytes: int, tasks: int, hash_bits: int) -
     A null source: the run was compared already, and ``digest`` is that of its words.
     """
     parts = max(1, -(-n_bytes // GROUP))
-    claims = _dealt(texts.mapInArrow(_claims(parts, 2**hash_bits - 1), _CLAIMS), tasks, "part")
-    marks = _dealt(claims.mapInArrow(_candidates(parts), _MARKS), tasks, "part")
+    # Parts are numbers without gaps: dealt in turn, each task gets as many as the next.
+    turn = (F.col("part") % tasks).cast("int")
+    met = lambda df: df.repartitionById(tasks, turn).sortWithinPartitions("part")
+    claims = met(texts.mapInArrow(_claims(parts, 2**hash_bits - 1), _CLAIMS))
+    marks = met(claims.mapInArrow(_candidates(parts), _MARKS))
     return marks.mapInArrow(_join_runs, _RUNS)
 
 
