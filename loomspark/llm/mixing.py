@@ -1,31 +1,41 @@
 """Mixing domains to target weights with soft membership, in DataFrame functions only.
 
-1. A labelled table (id, domain) teaches a naive Bayes classifier: document
-   frequencies of tokens by domain, the most telling tokens as vocabulary.
+1. A labelled table (id, domain) teaches a classifier: Spark counts tokens by
+   domain, the most telling ones are the vocabulary, and a multinomial logistic
+   model of their presence is fitted to the labelled rows. A quarter of them is left
+   out to choose the temperature of the posteriors.
 2. Every document gets a posterior over the domains.
-3. Rates r >= 0 are fitted by distributed projected gradient least squares, so
-   that the expected tokens of each domain, ``sum r * tokens * posterior``, match
-   targets. A pass of Spark sums the domains; the driver holds one number per
-   domain and pass. The gradient is scaled by document length and the domains'
-   curvature, so a rate is a function of the posterior and few rounds do.
+3. Rates r in [0, ``max_rate``] are fitted by distributed projected gradient least
+   squares: half the sum of squared relative residuals, ``(sum r * tokens *
+   posterior - target) / target`` over the domains, falls with every accepted step.
+   A round is two passes of Spark: one sums the residuals' curvature over the
+   documents whose rates can move, one tries steps against the gradient, scaled by
+   that curvature and damped more or less, each projected back into the bounds; the
+   best is kept. The driver holds a few numbers for each domain, and a rate is a
+   function of the posterior. The fit ends when all targets are met to ``CLOSE``, or
+   when no step gains. ``met`` says whether the targets are met, ``converged`` whether
+   that, or a projected gradient of about zero (no rates come nearer), is the case.
 4. A rate becomes copies: its whole part, and one more with the odds of the rest,
    drawn by a hash of the id.
 
 Bounds: about ``max_labelled`` labelled rows, picked by a hash of the id where
-there are more, and ``VOCABULARY`` tokens teach and are sent to all tasks.
+there are more, teach (as lists of vocabulary tokens they reach the driver, which
+fits the model), and ``VOCABULARY`` tokens are sent to all tasks.
 Posteriors, sums and rates cover all documents and whole texts.
 
 Defined results
-* null or empty text: no tokens, the prior as posterior.
-* rows that share an id share tokens (the largest count), posterior and rate.
+* null or empty text: no tokens, the evidence of holding nothing.
+* rows that share an id share tokens (the largest count), posterior (of their mean
+  evidence, so repeated rows change nothing) and rate.
 * null labels teach nothing; of several labels for an id the smallest counts.
 * no label at all, or an empty table: no rows, as there is nothing to match.
-* a target for a domain without labels is refused.
+* a single domain: all posteriors are 1, and all rates alike.
+* a target for a domain without labels is refused; so is one that is not above 0.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,18 +46,24 @@ from loomspark.llm.store import Scratch
 #: Words, and runs of anything that is neither letter nor white space.
 TOKEN = r"\p{L}+|[^\p{L}\s]+"
 SIGNS = r"[|#$%&*!<>={}_~^]"
-VOCABULARY = 2000
-LEAST_DOCS = 3
-#: A token's largest weight times the root of its documents must reach this.
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Letters of the beginning of a longer word, a token of its own.
+PREFIX = 5
+VOCABULARY = 500
+LEAST_DOCS = 5
+#: So many standard deviations from its expected count must a token be in some domain.
 LEAST_TELLING = 5.0
-#: Naive Bayes is too sure of itself; its evidence is divided by this.
-TEMPERATURE = 2.0
-SMOOTHING = 0.5
-ROUNDS = 30
-#: Rounds without gain after which the targets count as out of reach.
-PATIENCE = 4
-#: Rounds end when no domain is off its target by more than this part of all tokens.
-CLOSE = 2e-4
+#: Evidence is divided by that of these which suits unseen labels best.
+TEMPERATURES = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0)
+#: Penalty of squared weights, as labelled rows, and steps of the fit.
+RIDGE, FIT_STEPS = 2.0, 400
+ROUNDS = 40
+#: Damping of the steps that a round tries, as parts of the largest curvature; the last is a plain gradient step.
+DAMPING = (1e-9, 1e-5, 1e-3, 1e-2, 1e-1, 1.0)
+#: Targets count as met when none is off by more than this part of itself.
+CLOSE = 1e-4
+#: The projected gradient counts as zero when a step along it moves no more than this part of all tokens.
+STILL = 1e-5
 
 
 def _tokens(text: Column) -> Column:
@@ -55,20 +71,80 @@ def _tokens(text: Column) -> Column:
 
 
 def _features(tokens: Column, text: Column) -> Column:
-    """Distinct tokens, and two tokens for a text's shape: how much of it is new, how much is signs."""
+    """Distinct tokens, beginnings of the longer ones, and tokens for a text's shape."""
     size = F.greatest(F.size(tokens), F.lit(1))
-    tenth = lambda name, n: F.concat(F.lit(name), F.least(F.floor(10 * n / size), F.lit(20)).cast("string"))
-    signs = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SIGNS))
+    step = lambda name, x, most: F.concat(F.lit(name), F.least(F.floor(x), F.lit(most)).cast("string"))
+    body = F.coalesce(text, F.lit(""))
+    chars = F.greatest(F.length(body), F.lit(1))
     new = F.array_distinct(tokens)
-    return F.concat(new, F.array(tenth("new:", F.size(new)), tenth("signs:", signs)))
+    long = F.filter(new, lambda t: F.length(t) > PREFIX)
+    shape = F.array(
+        step("new:", 20 * F.size(new) / size, 20),
+        step("signs:", 20 * F.regexp_count(body, F.lit(SIGNS)) / size, 40),
+        step("length:", 4 * chars / size, 80),
+        step("capitals:", 50 * (chars - F.length(F.translate(body, CAPITALS, ""))) / chars, 50),
+    )
+    return F.concat(new, F.transform(long, lambda t: F.concat(F.lit("^"), F.left(t, F.lit(PREFIX)))), shape)
 
 
 @dataclass(frozen=True)
 class Classifier:
     domains: tuple[str, ...]
-    prior: tuple[float, ...]
-    #: (token, one weight per domain); at most ``VOCABULARY`` rows.
-    weights: DataFrame | None
+    #: Evidence of a text that holds nothing of the vocabulary, by domain.
+    bias: tuple[float, ...] = ()
+    #: (token, w0, w1, ...): at most ``VOCABULARY`` rows; and the tokens once more.
+    weights: DataFrame | None = None
+    vocabulary: tuple[str, ...] = ()
+    temperature: float = 1.0
+
+
+def _held(tokens: Column, text: Column, vocabulary: tuple[str, ...]) -> Column:
+    """Tokens of the vocabulary that a text has, each once."""
+    known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
+    return F.array_intersect(_features(tokens, text), known)
+
+
+def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial logistic weights and intercepts by accelerated gradient steps; y: one column for each domain."""
+    n, k = y.shape
+    a = np.column_stack([x, np.ones(n)])
+    penalty = np.r_[np.full(x.shape[1], ridge), 1e-3][:, None] / n
+    v = np.ones(a.shape[1]) / np.sqrt(a.shape[1])
+    for _ in range(20):  # the largest curvature, for the length of a step
+        v = a.T @ (a @ v)
+        size = float(np.linalg.norm(v))
+        v /= max(size, 1e-12)
+    step = 1 / (0.5 * size / n + float(penalty.max()))
+    w = ahead = np.zeros((a.shape[1], k))
+    for i in range(FIT_STEPS):
+        z = a @ ahead
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        after = ahead - step * (a.T @ (p - y) / n + penalty * ahead)
+        ahead = after + i / (i + 3) * (after - w)
+        w = after
+    return w[:-1], w[-1]
+
+
+def _evidence(docs: DataFrame, model: Classifier, *keys: str) -> DataFrame:
+    """(keys, tokens, s0, s1, ...): one row for each doc_id, the mean over its rows."""
+    tokens = docs.select(*keys, "text", _tokens(F.col("text")).alias("all"))
+    held = _held(F.col("all"), F.col("text"), model.vocabulary)
+    # The empty token stands for the row itself: a text may hold nothing of the vocabulary.
+    spread = tokens.select(
+        *keys, F.size("all").cast("long").alias("tokens"), F.explode(F.concat(F.array(F.lit("")), held)).alias("token")
+    )
+    rows = F.count_if(F.col("token") == "")
+    sums = [(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) / rows + model.bias[i]).alias(f"s{i}") for i in range(len(model.domains))]
+    return spread.join(F.broadcast(model.weights), "token", "left").groupBy(*keys).agg(F.max("tokens").alias("tokens"), *sums)
+
+
+def _softmax(k: int, temperature: float) -> list[Column]:
+    logit = [F.col(f"s{i}") / temperature for i in range(k)]
+    top = F.greatest(*logit, F.lit(-1e300))
+    parts = [F.exp(x - top) for x in logit]
+    total = sum(parts[1:], parts[0])
+    return [p / total for p in parts]
 
 
 def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000) -> Classifier:
@@ -77,88 +153,139 @@ def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000) -> C
     sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     domains = tuple(sorted(sizes))
     if not domains:
-        return Classifier((), (), None)
+        return Classifier(())
     total = sum(sizes.values())
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
-    picked = known.where(draw < F.lit(min(1.0, max_labelled / total) * 1e6))
-    taught = docs.join(F.broadcast(picked), "doc_id").select(
-        _features(_tokens(F.col("text")), F.col("text")).alias("tokens"), "domain"
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4))
+    picked = known.where(draw < F.lit(min(1.0, max_labelled / total) * 1e6)).withColumn("unseen", fold == 0)
+    labelled_docs = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    taught = labelled_docs.where("NOT unseen").select(
+        F.array_distinct(_features(_tokens(F.col("text")), F.col("text"))).alias("tokens"), "domain"
     )
     counts = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
     seen = taught.agg(*counts).first()
     n = [float(x) for x in seen]
     by_token = taught.select(F.explode("tokens").alias("token"), "domain").groupBy("token").agg(F.count("*").alias("n"), *counts)
-    weights = [F.log((F.col(f"n{i}") + SMOOTHING) / F.lit(n[i] + 2 * SMOOTHING)) for i in range(len(domains))]
-    mean = sum(weights[1:], weights[0]) / len(domains)
-    centred = [(w - mean).alias(f"w{i}") for i, w in enumerate(weights)]
-    told = by_token.where(F.col("n") >= LEAST_DOCS).select("token", "n", *centred)
-    telling = F.greatest(*[F.abs(f"w{i}") for i in range(len(domains))], F.lit(0.0)) * F.sqrt("n")
-    best = told.where(telling >= LEAST_TELLING).orderBy(telling.desc(), "token").limit(VOCABULARY).select("token", *[f"w{i}" for i in range(len(domains))])
-    prior = tuple(float(np.log((sizes[d] + SMOOTHING) / (total + SMOOTHING * len(domains)))) for d in domains)
-    return Classifier(domains, prior, best)
+    told = by_token.where(F.col("n") >= LEAST_DOCS)
+    parts = [max(x, 0.5) / max(sum(n), 1.0) for x in n]
+    off = [F.abs(F.col(f"n{i}") - F.col("n") * p) / F.sqrt(F.col("n") * p * max(1 - p, 1e-9)) for i, p in enumerate(parts)]
+    telling = F.greatest(*off, F.lit(0.0))
+    best = told.where(telling >= LEAST_TELLING).orderBy(telling.desc(), "token").limit(VOCABULARY).select("token")
+    vocabulary = tuple(r["token"] for r in best.collect())  # VOCABULARY rows at most
+    place = {t: i for i, t in enumerate(vocabulary)}
+    rows = (
+        labelled_docs.where("NOT unseen")
+        .select("domain", _held(_tokens(F.col("text")), F.col("text"), vocabulary).alias("held"))
+        .collect()  # about max_labelled rows at most, each with tokens of the vocabulary
+    )
+    x = np.zeros((len(rows), len(vocabulary)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, [place[t] for t in r["held"]]] = 1
+    y = np.array([[r["domain"] == d for d in domains] for r in rows], float).reshape(len(rows), len(domains))
+    w, bias = _fit_logistic(x, y) if rows else (np.zeros((len(vocabulary), len(domains))), np.zeros(len(domains)))
+    shape = ", ".join(["token string", *(f"w{i} double" for i in range(len(domains)))])
+    weights = docs.sparkSession.createDataFrame([(t, *map(float, w[i])) for t, i in place.items()], shape)
+    model = Classifier(domains, tuple(map(float, bias)), weights, vocabulary)
+    # Unseen labels choose how far the evidence is believed.
+    judged = _evidence(labelled_docs.where("unseen"), model, "doc_id", "domain")
+    loss = []
+    for t in TEMPERATURES:
+        p = _softmax(len(domains), t)
+        own = F.coalesce(*[F.when(F.col("domain") == d, p[i]) for i, d in enumerate(domains)])
+        loss.append(F.sum(-F.log(F.greatest(own, F.lit(1e-12)))).alias(f"t{len(loss)}"))
+    row = judged.agg(*loss).first()
+    losses = [np.inf if x is None else x for x in row]
+    return replace(model, temperature=TEMPERATURES[int(np.argmin(losses))])
 
 
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, tokens, posterior): one row for each id."""
-    k = range(len(model.domains))
-    tokens = docs.select("doc_id", "text", _tokens(F.col("text")).alias("all"))
-    spread = tokens.select(
-        "doc_id",
-        F.size("all").cast("long").alias("tokens"),
-        F.explode_outer(_features(F.col("all"), F.col("text"))).alias("token"),
-    )
-    evidence = (
-        spread.join(F.broadcast(model.weights), "token", "left")
-        .groupBy("doc_id")
-        .agg(F.max("tokens").alias("tokens"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in k])
-    )
-    logit = [F.col(f"s{i}") / TEMPERATURE + model.prior[i] for i in k]
-    top = F.greatest(*logit, F.lit(-1e300))
-    parts = [F.exp(x - top) for x in logit]
-    total = sum(parts[1:], parts[0])
-    return evidence.select("doc_id", "tokens", F.array(*[p / total for p in parts]).alias("posterior"))
-
-
-def _rate(steps: list[list[float]], most: float) -> Column:
-    """The rate after all steps so far: each lowers it by step times posterior and projects it back into [0, most]."""
-    if not steps:
-        return F.lit(1.0)
-    dot = lambda g: F.aggregate(F.zip_with("posterior", g, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(
-        F.array(*[F.array(*map(F.lit, s)) for s in steps]),
-        F.lit(1.0),
-        lambda r, g: F.least(F.greatest(r - dot(g), F.lit(0.0)), F.lit(most)),
-    )
+    p = _softmax(len(model.domains), model.temperature)
+    return _evidence(docs, model, "doc_id").select("doc_id", "tokens", F.array(*p).alias("posterior"))
+
+
+@dataclass(frozen=True)
+class Fit:
+    #: (doc_id, tokens, posterior, rate).
+    rated: DataFrame
+    #: (expected - target) / target by domain.
+    residuals: dict[str, float]
+    #: Are all targets met?
+    met: bool
+    #: Met, or as near as rates within the bounds come.
+    converged: bool
+
+
+def _dot(g: list[float]) -> Column:
+    parts = [F.col("posterior")[i] * x for i, x in enumerate(g)]
+    return sum(parts[1:], parts[0])
 
 
-def fit_rates(judged: DataFrame, domains: tuple[str, ...], targets: dict[str, float], max_rate: float) -> list[list[float]]:
-    """Gradient steps whose fold over a posterior is its rate. ``targets``: tokens by domain."""
+def _stepped(step: list[float], most: float) -> Column:
+    """The rate after a step: lowered by step times posterior and projected back into [0, most]."""
+    return F.least(F.greatest(F.col("rate") - _dot(step), F.lit(0.0)), F.lit(most))
+
+
+def fit_rates(scratch: Scratch, judged: DataFrame, domains: tuple[str, ...], targets: dict[str, float], max_rate: float) -> Fit:
+    """``targets``: tokens by domain, above 0; a domain without one is left free."""
     if unknown := set(targets) - set(domains):
         raise ValueError(f"no labels for {sorted(unknown)}")
-    k = len(domains)
-    each = [F.col("posterior")[i] for i in range(k)]
-    row = judged.agg(
-        *[F.sum(F.col("tokens") * a * b).alias(f"g{i}_{j}") for i, a in enumerate(each) for j, b in enumerate(each)]
-    ).first()
-    gram = np.array([[row[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    mass = np.maximum(gram.sum(1), 1e-9)
-    goal = np.array([targets.get(d, 0.0) for d in domains])
-    # Least squares weighed by the inverse of the domains' curvature: the largest curvature is then 1, and steps below 2 converge.
-    inverse = np.linalg.inv(gram + np.diag(1e-3 * mass))
-    steps: list[list[float]] = []
-    scale, best, idle = 1.0, np.inf, 0
-    for _ in range(ROUNDS):
-        rate = _rate(steps, max_rate)
-        sums = judged.agg(*[F.sum(rate * F.col("tokens") * p).alias(f"e{i}") for i, p in enumerate(each)]).first()
-        miss = np.array([sums[f"e{i}"] or 0.0 for i in range(k)]) - goal
-        off = float(np.abs(miss).max())
-        idle = idle + 1 if off > 0.99 * best else 0
-        if off <= CLOSE * mass.sum() or idle == PATIENCE:  # met, or as near as rates of at least 0 come
+    aimed = [i for i, d in enumerate(domains) if d in targets]
+    goal = np.array([targets[domains[i]] for i in aimed])
+    k = len(aimed)
+    tokens = F.col("tokens")
+    each = [F.col("posterior")[i] for i in aimed]
+
+    def spread(c: np.ndarray) -> list[float]:
+        """A step on relative residuals -> one number for each domain, for ``_rate``."""
+        out = [0.0] * len(domains)
+        for i, x in zip(aimed, c / goal, strict=True):
+            out[i] = float(x)
+        return out
+
+    def sums(rated: DataFrame, rates: list[Column]) -> list[np.ndarray]:
+        """Relative residuals under each of these rates."""
+        cells = [F.sum(r * tokens * a).alias(f"e{n}_{i}") for n, r in enumerate(rates) for i, a in enumerate(each)]
+        row = rated.agg(*cells).first()
+        return [np.array([row[f"e{n}_{i}"] or 0.0 for i in range(k)]) / goal - 1 for n in range(len(rates))]
+
+    def curvature(rated: DataFrame, miss: np.ndarray) -> np.ndarray:
+        """Of residuals, over documents that a step against the gradient can move."""
+        r, slope = F.col("rate"), _dot(spread(miss))
+        free = ((r > 0) | (slope < 0)) & ((r < max_rate) | (slope > 0))
+        cells = [F.sum(F.when(free, tokens * a * b)).alias(f"g{i}_{j}") for i, a in enumerate(each) for j, b in enumerate(each)]
+        row = rated.agg(*cells).first()
+        return np.array([[row[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) / np.outer(goal, goal)
+
+    def moved(rated: DataFrame, step: list[float]) -> float:
+        """Part of all tokens that a projected step along the plain gradient moves."""
+        change = F.abs(F.col("rate") - _stepped(step, max_rate))
+        row = rated.agg(F.sum(change * tokens).alias("moved"), F.sum(tokens).alias("all")).first()
+        return (row["moved"] or 0.0) / max(row["all"] or 0.0, 1.0)
+
+    rated = judged.withColumn("rate", F.lit(1.0))
+    (miss,) = sums(rated, [F.col("rate")])
+    last, slow, reach = np.zeros(k), 0, 1e-12
+    for n in range(ROUNDS):
+        if np.abs(miss).max() <= CLOSE or slow == 3:
+            break
+        gram = curvature(rated, miss)
+        reach = max(reach, float(np.linalg.eigvalsh(gram)[-1]))
+        tries = [np.linalg.solve(gram + d * reach * np.eye(k), miss) for d in DAMPING]
+        tries += [c + last for c in tries[-3:]] + [last, 4 * last]  # and on along the step before
+        found = sums(rated, [_stepped(spread(c), max_rate) for c in tries])
+        best = int(np.argmin([x @ x for x in found]))
+        gain = 1 - (found[best] @ found[best]) / (miss @ miss)
+        slow = slow + 1 if gain < 1e-3 else 0
+        if gain <= 0:
             break
-        scale = scale * 0.5 if off > best else min(1.8, scale * 1.2)
-        best = min(best, off)
-        steps.append((scale * (inverse @ miss)).tolist())
-    return steps
+        # Rates are a written table: neither the plan nor a lost executor's work grows with the rounds.
+        rated = scratch.keep(rated.withColumn("rate", _stepped(spread(tries[best]), max_rate)), f"rated-{n}")
+        scratch.drop(f"rated-{n - 1}")
+        miss, last = found[best], tries[best]
+    met = bool(np.abs(miss).max() <= CLOSE)
+    converged = met or moved(rated, spread(miss / reach)) <= STILL
+    return Fit(rated, {domains[i]: float(x) for i, x in zip(aimed, miss, strict=True)}, met, converged)
 
 
 def mix(
@@ -171,30 +298,36 @@ def mix(
     max_labelled: int = 20_000,
     seed: int = 7,
 ) -> DataFrame:
-    """(doc_id, tokens, posterior map, rate, copies) for each id.
+    """(doc_id, tokens, posterior map, rate, copies, residual map, met, converged) for each id; the last three are the fit's.
 
     ``weights``: part of the output's tokens by domain, normalized. ``total``: output
     tokens as a multiple of the input's; if None, each weight is a multiple of its
     own domain's expected tokens.
     """
     model = train(docs, labelled, max_labelled)
-    shape = "doc_id long, tokens long, posterior map<string,double>, rate double, copies long"
-    if model.weights is None:
+    shape = "doc_id long, tokens long, posterior map<string,double>, rate double, copies long, residual map<string,double>, met boolean, converged boolean"
+    if not model.domains:
         return spark.createDataFrame([], shape)
-    judged = Scratch(spark, "mixing").keep(posteriors(docs, model), "judged")
+    scratch = Scratch(spark, "mixing")
+    judged = scratch.keep(posteriors(docs, model), "judged")
     own = judged.agg(
         *[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(d) for i, d in enumerate(model.domains)]
     ).first()
     mass = {d: own[d] or 0.0 for d in model.domains}
     parts, tokens = sum(weights.values()), sum(mass.values())
     goal = {d: w * (mass.get(d, 0.0) if total is None else total * tokens / parts) for d, w in weights.items()}
-    steps = fit_rates(judged, model.domains, goal, max_rate)
+    if any(w <= 0 for w in goal.values()):
+        raise ValueError("targets must be above 0")
+    fit = fit_rates(scratch, judged, model.domains, goal, max_rate)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**31)) / F.lit(float(2**31))
-    rated = judged.withColumn("rate", _rate(steps, max_rate))
-    return rated.select(
+    texts = lambda names: F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    return fit.rated.select(
         "doc_id",
         "tokens",
-        F.map_from_arrays(F.array(*map(F.lit, model.domains)), "posterior").alias("posterior"),
+        F.map_from_arrays(texts(model.domains), "posterior").alias("posterior"),
         "rate",
         (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"),
+        F.map_from_arrays(texts(list(fit.residuals)), F.array(*map(F.lit, fit.residuals.values()))).alias("residual"),
+        F.lit(fit.met).alias("met"),
+        F.lit(fit.converged).alias("converged"),
     )

@@ -24,5 +24,12 @@ def register(llm: Registry) -> None:
         docs = read(spark, sf_dir, "documents").select("doc_id", "text")
         mixed = mix(spark, docs, domains(read(spark, sf_dir, "labels")), WEIGHTS)
         return mixed.select(
-            "doc_id", "tokens", *[F.col("posterior")[d].alias(f"p_{d}") for d in WEIGHTS], "rate", "copies"
+            "doc_id",
+            "tokens",
+            *[F.col("posterior")[d].alias(f"p_{d}") for d in WEIGHTS],
+            "rate",
+            "copies",
+            *[F.col("residual")[d].alias(f"residual_{d}") for d in WEIGHTS],
+            "met",
+            "converged",
         )

@@ -234,3 +234,36 @@ def test_mixing(spark):
     assert mixing.mix(spark, docs, known.limit(0), {"a": 1.0}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(spark, docs, known, {"zzz": 1.0})
+
+
+def test_rates_against_brute_force_least_squares(spark, tmp_path):
+    """Projected gradient in numpy, run to its end, on posteriors of two and three domains; the second goal is out of reach."""
+    from loomspark.llm.store import Scratch
+
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.4, 0.3, 0.2], 400)
+    t = rng.integers(1, 50, 400)
+    judged = spark.createDataFrame([(i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(t, p, strict=True))], "doc_id long, tokens long, posterior array<double>")
+    for parts in ([0.6, 0.3, 0.1], [0.995, 0.004, 0.001]):
+        goal = np.array(parts) * t.sum()
+        fit = mixing.fit_rates(Scratch(spark, "test"), judged, ("a", "b", "c"), dict(zip("abc", goal.tolist(), strict=True)), 2.0)
+        got = fit.rated.toPandas()
+        r = np.ones(400)
+        a = (p * t[:, None] / goal).T
+        step = 1 / np.linalg.eigvalsh((a / t) @ a.T)[-1]
+        for _ in range(60_000):
+            r = np.clip(r - step * ((a @ r - 1) @ (a / t)), 0, 2)
+        best = np.square(a @ r - 1).sum()
+        mine = np.square(np.array([fit.residuals[d] for d in "abc"])).sum()
+        assert mine <= best * 1.02 + 1e-7 and got["rate"].between(0, 2).all()
+        assert fit.met == (best < 1e-6)
+
+
+def test_repeated_rows_leave_posteriors_unchanged(spark):
+    rows = [(i, ["red green", "one two"][i % 2] + f" w{i % 5}") for i in range(60)]
+    known = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "doc_id long, domain string")
+    once = spark.createDataFrame([*rows, (99, "red one")], "doc_id long, text string")
+    thrice = spark.createDataFrame([*rows, *[(99, "red one")] * 3], "doc_id long, text string")
+    weights = {"a": 0.5, "b": 0.5}
+    a, b = ({r["doc_id"]: r["posterior"] for r in mixing.mix(spark, d, known, weights).collect()} for d in (once, thrice))
+    assert a == b and len(a) == 61
