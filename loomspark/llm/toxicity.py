@@ -1,17 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
+Two zstandard dictionaries are trained, one on ordinary text and one on toxic text.
 A window of a text that shrinks more with the toxic dictionary speaks like toxic
-text; by how many bytes, at most and in sum over the windows, is calibrated to a
-probability.
+text; by how many bytes, at most and in sum over the windows, and in how many
+windows, is calibrated to a probability.
 
 Training: segments (whole words, word beginnings, and pieces of scripts without
 spaces) are counted by documents of each class in Spark, documents that have a
 segment between the same two words as one: copies are no evidence of their own.
-Each segment that tells more than chance is learned, however common others are. The ordinary dictionary holds what ordinary text has in
-common with toxic segments, the toxic one besides that the segments with the
-largest log-odds, the most telling last, where zstandard refers to it most
-cheaply. Calibration takes documents that the dictionaries have not seen.
+As toxic documents are mostly ordinary prose, zstandard's trainer gets of them what
+tells: each document's words with a segment that is commoner in toxic text than
+chance allows. The ordinary dictionary is trained on windows of ordinary text. Both
+hold it, and the infixes of toxic segments that ordinary text shares, so that the
+two lengths differ by toxic segments alone. Calibration takes documents that the
+dictionaries have not seen. Where a class has too few texts for the trainer, the
+samples themselves are the dictionary.
 
 Bound of training: about ``max_toxic`` and ``max_ordinary`` labelled rows,
 picked by a hash of the id where there are more. Everything else covers all rows,
@@ -39,8 +42,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a window; windows end at word ends.
-WINDOW = 256
+#: Bytes of a window, of one word to three; windows end at word ends. In longer ones a telling word drowns among others.
+WINDOW = 24
+#: Bytes of a piece of a word without end.
+LONGEST_WINDOW = 1024
 #: zstandard refers to so many bytes at least.
 MIN_MATCH = 7
 #: Stands before, between and after words. With it a whole short word is a match, and a chance match inside a word is a long one.
@@ -53,11 +58,17 @@ GRAMS = (3, 4, 5)
 #: A segment teaches only if so many documents of its class have it, copies apart.
 LEAST_DOCS = 3
 #: And if it is so many times likelier there than in the other class.
-LEAST_ODDS = 8.0
+LEAST_ODDS = 4.0
 #: And if it would be so likely there by chance at most, with all segments counted together.
 CHANCE = 0.01
 #: A longer segment replaces its own beginning if it tells at least this part as much.
 SAME_Z = 0.8
+#: Bytes of the ordinary dictionary, and of the toxic one for each byte of distinct telling segments.
+ORDINARY_BYTES, TOXIC_SCALE = 8192, 4
+#: Windows of an ordinary document that teach the ordinary dictionary.
+WINDOWS_TAUGHT = 2
+#: Part of unseen ordinary documents that the calibrated threshold refuses.
+REFUSED = 0.015
 #: Part of ordinary documents that makes an infix of a toxic segment common.
 COMMON = 0.002
 
@@ -79,10 +90,10 @@ def windows(text: str | None) -> list[bytes]:
     """The whole normalized text in pieces of about ``WINDOW`` bytes; each begins with the gap that ended the one before."""
     body, out, at = _normal(text), [], 0
     while at < len(body) - len(GAP):
-        end = body.find(GAP, at + WINDOW - 2 * LONGEST_WORD)
+        end = body.find(GAP, at + WINDOW // 2)
         end = len(body) - len(GAP) if end < 0 else end
-        for cut in range(at, end, 4 * WINDOW):  # a word without end
-            out.append(body[cut : min(cut + 4 * WINDOW, end + len(GAP))])
+        for cut in range(at, end, LONGEST_WINDOW):  # a word without end
+            out.append(body[cut : min(cut + LONGEST_WINDOW, end + len(GAP))])
         at = end
     return out
 
@@ -121,7 +132,7 @@ def contexts(text: str | None) -> dict[bytes, int]:
 class Model:
     toxic: bytes
     ordinary: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -141,7 +152,7 @@ class Scorer:
         # The fast strategy with a target length leaves literals as they are: lengths then tell of matches alone.
         p = zstandard.ZstdCompressionParameters.from_level(
             1,
-            source_size=WINDOW,
+            source_size=256,
             dict_size=max(len(content), 8),
             strategy=zstandard.STRATEGY_FAST,
             target_length=1,
@@ -152,29 +163,30 @@ class Scorer:
         d.precompute_compress(compression_params=p)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """Largest saving of a window, and the log of all savings of more than a byte."""
+    def evidence(self, text: str | None) -> tuple[float, float, float, float]:
+        """Largest saving of a window, and logs of all savings, of the windows that save more than a byte, and of all windows."""
         toxic, ordinary = self._toxic.compress, self._ordinary.compress
-        best = total = 0
-        for w in windows(text):
+        best = total = many = n = 0
+        for n, w in enumerate(windows(text), 1):
             saved = len(ordinary(w)) - len(toxic(w))
-            if saved > best:
-                best = saved
-            if saved > 1:
-                total += saved - 1
-        return float(best), float(np.log1p(total))
+            if saved > 0:
+                total += saved
+                many += saved > 1
+                if saved > best:
+                    best = saved
+        return float(best), *(float(np.log1p(x)) for x in (total, many, n))
 
     def score(self, text: str | None) -> float:
-        b, t = self.evidence(text)
-        bias, wb, wt = self.model.weights
-        return float(1 / (1 + np.exp(-np.clip(bias + wb * b + wt * t, -30, 30))))
+        bias, *w = self.model.weights
+        z = bias + sum(x * y for x, y in zip(w, self.evidence(text), strict=True))
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Newton's method on three weights; classes weigh as they occur, so a clean text needs evidence to be refused."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
+    """Newton's method on a few weights; classes weigh as they occur, so a clean text needs evidence to be refused."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
-    penalty = ridge * np.array([1e-3, 1, 1])
+    penalty = ridge * np.r_[1e-3, np.ones(a.shape[1] - 1)]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         g = a.T @ (p - y) + penalty * w
@@ -183,7 +195,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[fl
         w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1]), float(w[2])
+    return tuple(map(float, w))
 
 
 def _content(counts: pd.DataFrame, n_toxic: int, n_ordinary: int) -> bytes:
@@ -217,8 +229,8 @@ def _content(counts: pd.DataFrame, n_toxic: int, n_ordinary: int) -> bytes:
     return b"".join(s + b"|" for s in reversed(chosen))
 
 
-def _common_infixes(taught: DataFrame, toxic: bytes, n_ordinary: int) -> bytes:
-    """What ordinary text has in common with the toxic dictionary, the commonest last.
+def _common_infixes(taught: DataFrame, toxic: bytes, n_toxic: int, n_ordinary: int) -> bytes:
+    """What ordinary text has in common with the toxic dictionary and is no sign of toxic text, the commonest last.
 
     With it in the ordinary dictionary, a chance match inside an ordinary word
     shrinks a window alike with both, and only whole toxic segments tell.
@@ -236,20 +248,54 @@ def _common_infixes(taught: DataFrame, toxic: bytes, n_ordinary: int) -> bytes:
         return out
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[bytes] = Counter()
+        seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
         for f in frames:
             for t, label, fold in zip(f["text"], f["__toxic"], f["__fold"], strict=True):
-                if fold and not label:
-                    seen.update(held(_normal(t)))
-        yield pd.DataFrame(list(seen.items()), columns=["infix", "n"])
+                if fold:
+                    seen[label].update(held(_normal(t)))
+        yield pd.DataFrame([(x, n, k) for k in (0, 1) for x, n in seen[k].items()], columns=["infix", "n", "toxic"])
 
-    counted = taught.mapInPandas(count, "infix binary, n long").groupBy("infix").agg(F.sum("n").alias("n"))
-    common = [(int(r["n"]), bytes(r["infix"])) for r in counted.collect() if r["n"] >= max(1, COMMON * n_ordinary)]
+    of = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("n")).otherwise(0))
+    counted = taught.mapInPandas(count, "infix binary, n long, toxic int").groupBy("infix").agg(of(0).alias("n"), of(1).alias("m"))
+    common = [
+        (int(r["n"]), bytes(r["infix"]))
+        for r in counted.collect()
+        if r["n"] >= max(1, COMMON * n_ordinary) and r["m"] / n_toxic < LEAST_ODDS * r["n"] / n_ordinary
+    ]
     # An infix of an infix adds nothing; what is inside a common one is common, so one byte less tells.
     inner = {y for _, x in common for y in (x[1:], x[:-1])}
     return b"|".join(x for _, x in sorted(common) if x not in inner) + b"|"
 
 
+def _trained(samples: list[bytes], size: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:  # too little text for zstandard's trainer
+        return b"".join(samples)[-size:]
+
+
+def _taught_samples(taught: DataFrame, telling: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Samples of both classes, in a fixed order: words of toxic documents with telling segments, windows of ordinary ones."""
+    known = frozenset(telling)
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for f in frames:
+            for i, t, label, fold in zip(f["__id"], f["text"], f["__toxic"], f["__fold"], strict=True):
+                if fold and label:
+                    # Of each such word the longest telling segment: the rest of it is ordinary.
+                    told = [max(p, key=len) for w in _WORDS.findall((t or "").lower()) if (p := _pieces(w) & known)]
+                    if told:
+                        rows.append((str(i), 1, b"|".join(told) + b"|"))
+                elif fold:
+                    rows += [(str(i), 0, w) for w in windows(t)[:: max(1, len(windows(t)) // WINDOWS_TAUGHT)][:WINDOWS_TAUGHT]]
+        yield pd.DataFrame(rows, columns=["id", "toxic", "sample"])
+
+    # Bounded by max_toxic + max_ordinary documents.
+    rows = sorted((r["toxic"], r["id"], bytes(r["sample"])) for r in taught.mapInPandas(pick, "id string, toxic int, sample binary").collect())
+    return [s for k, _, s in rows if k], [s for k, _, s in rows if not k]
+
+
 def sample(labels: DataFrame, id_col: str, label_col: str, max_toxic: int, max_ordinary: int) -> DataFrame:
     """(id, toxic, fold) of about so many labelled rows of each class."""
     known = (
@@ -302,25 +348,31 @@ def train(
     whole = counts[counts["segment"].map(len) == 0]
     n1, n0 = int(whole["toxic"].sum()), int(whole["ordinary"].sum())
     if not n1 or not n0:
-        return Model(b"", b"", (-30.0, 0.0, 0.0))
+        return Model(b"", b"", (-30.0, 0.0, 0.0, 0.0, 0.0))
     counts = counts[counts["segment"].map(len) > 0]
     telling = _content(counts, n1, n0)
-    # Ordinary text's own infixes stand in both, as toxic documents are mostly ordinary prose.
-    ordinary = _common_infixes(taught, telling, n0)
-    toxic = ordinary + telling
-    draft = Model(toxic, ordinary, (0.0, 0.0, 0.0))
+    segments_told = [x for x in telling.split(b"|") if x]
+    of_toxic, of_ordinary = _taught_samples(taught, segments_told)
+    # What ordinary text has stands in both, as toxic documents are mostly ordinary prose.
+    ordinary = _trained(of_ordinary, ORDINARY_BYTES) + b"|" + _common_infixes(taught, telling, n1, n0)
+    toxic = ordinary + (_trained(of_toxic, max(1024, TOXIC_SCALE * len(telling))) + b"|" + telling if of_toxic else b"")
+    draft = Model(toxic, ordinary, (0.0, 0.0, 0.0, 0.0, 0.0))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = draft.scorer()
         for f in frames:
             rows = [(*s.evidence(t), y, k) for t, y, k in zip(f["text"], f["__toxic"], f["__fold"], strict=True)]
-            yield pd.DataFrame(rows, columns=["best", "total", "y", "fold"])
+            yield pd.DataFrame(rows, columns=["best", "total", "many", "n", "y", "fold"])
 
-    seen = taught.mapInPandas(measure, "best double, total double, y int, fold long").toPandas()
+    seen = taught.mapInPandas(measure, "best double, total double, many double, n double, y int, fold long").toPandas()
     unseen = seen[seen["fold"] == 0]
     if unseen["y"].sum() < 5 or (1 - unseen["y"]).sum() < 5:
         unseen = seen
-    weights = _fit_logistic(unseen[["best", "total"]].to_numpy(float), unseen["y"].to_numpy(float))
+    x, y = unseen[["best", "total", "many", "n"]].to_numpy(float), unseen["y"].to_numpy(float)
+    bias, *slopes = _fit_logistic(x, y)
+    # The threshold is where so few unseen ordinary texts are refused; a small fold moves it little.
+    limit = float(np.quantile((bias + x @ slopes)[y == 0], 1 - REFUSED)) if (y == 0).any() else 0.0
+    weights = (bias - float(np.clip(limit, -2, 2)), *slopes)
     return Model(toxic, ordinary, weights)
 
 
