@@ -39,8 +39,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates stays: that with the smallest id, once."""
     found = near_duplicates(spark, docs)
     kept = found.where("kept").select("doc_id").distinct()
-    # Rows that share an id are one document to the operator; the first of them stays.
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    # Rows that share an id are one document to the operator: the least of their texts stays. Rows without an id are kept apart.
+    alone = docs.where("doc_id IS NULL")
+    least = F.min_by(F.struct(*COLUMNS), F.struct("text", "source", "lang")).alias("row")
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("row.*")
+    return one.unionByName(alone.select(*COLUMNS))
 
 
 def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[str, int, bool]:
@@ -56,14 +59,17 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All of high quality and part of the rest: rates are at most 1, so no document comes twice."""
+    """All of high quality and part of the rest: rates are at most 1, so no document comes twice.
+
+    Without labels of two kinds there is nothing to weigh: each kind that is known, or else the whole table, stays whole.
+    """
     quality = read(spark, sf_dir, "labels").select(
         "doc_id", F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain")
     )
-    known = quality.where("domain IS NOT NULL").select("domain").distinct().collect()  # two values at most
-    if len(known) < 2:
+    known = {r["domain"] for r in quality.where("domain IS NOT NULL").select("domain").distinct().collect()}  # two values at most
+    weights = {d: w for d, w in (("high", 1.0), ("low", LOW_QUALITY if len(known) == 2 else 1.0)) if d in known}
+    if not weights:
         return docs.select(*COLUMNS)
-    weights = {"high": 1.0, "low": LOW_QUALITY}
     mixed = mix(spark, docs.select("doc_id", "text"), quality, weights, total=None, max_rate=1.0)
     kept = mixed.where("copies > 0").select("doc_id")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
