@@ -67,6 +67,7 @@ SAME_Z = 0.8
 ORDINARY_BYTES, TOXIC_SCALE = 8192, 4
 #: Windows of an ordinary document that teach the ordinary dictionary.
 WINDOWS_TAUGHT = 2
+TABLE_BITS = 18
 #: Part of unseen ordinary documents that the calibrated threshold refuses.
 REFUSED = 0.015
 #: Part of ordinary documents that makes an infix of a toxic segment common.
@@ -86,18 +87,24 @@ def _normal(text: str | None) -> bytes:
     return GAP + GAP.join(words) + GAP if words else b""
 
 
-def windows(text: str | None) -> list[bytes]:
-    """The whole normalized text in pieces of about ``WINDOW`` bytes; each begins with the gap that ended the one before."""
-    body, out, at = _normal(text), [], 0
-    while at < len(body) - len(GAP):
+def _spans(body: bytes) -> list[tuple[int, int]]:
+    """A normalized text in windows of about ``WINDOW`` bytes; each begins with the gap that ended the one before."""
+    out, at, last = [], 0, len(body) - len(GAP)
+    while at < last:
         end = body.find(GAP, at + WINDOW // 2)
-        end = len(body) - len(GAP) if end < 0 else end
+        end = last if end < 0 else end
         for cut in range(at, end, LONGEST_WINDOW):  # a word without end
-            out.append(body[cut : min(cut + LONGEST_WINDOW, end + len(GAP))])
+            out.append((cut, min(cut + LONGEST_WINDOW, end + len(GAP))))
         at = end
     return out
 
 
+def windows(text: str | None) -> list[bytes]:
+    """The whole normalized text in windows."""
+    body = _normal(text)
+    return [body[a:b] for a, b in _spans(body)]
+
+
 def _pieces(w: str) -> set[bytes]:
     """A word with the gaps round it, its beginnings after a gap, and pieces of scripts without spaces."""
     parts = [w[k : k + LONGEST_WORD].encode(errors="replace") for k in range(0, len(w), LONGEST_WORD)]
@@ -128,6 +135,16 @@ def contexts(text: str | None) -> dict[bytes, int]:
     return out
 
 
+def _runs_of_bytes(body: bytes) -> np.ndarray:
+    """Each ``MIN_MATCH`` bytes of the body as one number."""
+    raw = np.frombuffer(body + bytes(8), np.uint8)
+    return np.ndarray(len(body) - MIN_MATCH + 1, "<u8", raw, 0, (1,)) & np.uint64(2 ** (8 * MIN_MATCH) - 1)
+
+
+def _slots(runs: np.ndarray) -> np.ndarray:
+    return (runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+
+
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
@@ -144,6 +161,11 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
         self._toxic, self._ordinary = self._compressor(model.toxic), self._compressor(model.ordinary)
+        own = model.toxic[len(model.ordinary) :]
+        # Runs of MIN_MATCH bytes that the toxic dictionary alone may match, and a table to look them up.
+        self._grams = np.unique(_runs_of_bytes(own)) if len(own) >= MIN_MATCH else np.zeros(0, np.uint64)
+        self._table = np.zeros(1 << TABLE_BITS, bool)
+        self._table[_slots(self._grams)] = True
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -163,11 +185,25 @@ class Scorer:
         d.precompute_compress(compression_params=p)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
+    def _telling(self, body: bytes, spans: np.ndarray) -> np.ndarray:
+        """Windows with ``MIN_MATCH`` bytes of the toxic dictionary's own part; the others save nothing."""
+        runs = _runs_of_bytes(body)
+        at = np.flatnonzero(self._table[_slots(runs)])
+        at = at[np.isin(runs[at], self._grams)]
+        if not len(at):
+            return at
+        first = np.searchsorted(at, spans[:, 0])
+        return np.flatnonzero(at[np.minimum(first, len(at) - 1)] - spans[:, 0] + MIN_MATCH <= np.where(first < len(at), spans[:, 1] - spans[:, 0], -1))
+
     def evidence(self, text: str | None) -> tuple[float, float, float, float]:
         """Largest saving of a window, and logs of all savings, of the windows that save more than a byte, and of all windows."""
         toxic, ordinary = self._toxic.compress, self._ordinary.compress
-        best = total = many = n = 0
-        for n, w in enumerate(windows(text), 1):
+        body = _normal(text)
+        spans = _spans(body)
+        n = len(spans)
+        best = total = many = 0
+        for i in self._telling(body, np.array(spans)).tolist() if n and len(body) >= MIN_MATCH else ():
+            w = body[spans[i][0] : spans[i][1]]
             saved = len(ordinary(w)) - len(toxic(w))
             if saved > 0:
                 total += saved
