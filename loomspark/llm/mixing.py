@@ -57,7 +57,7 @@ LEAST_TELLING = 5.0
 TEMPERATURES = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0)
 #: Penalty of squared weights, as labelled rows, and steps of the fit.
 RIDGE, FIT_STEPS = 2.0, 400
-ROUNDS = 25
+ROUNDS = 40
 #: Damping of the steps that a round tries, as parts of the largest curvature; the last is a plain gradient step.
 DAMPING = (1e-9, 1e-5, 1e-3, 1e-2, 1e-1, 1.0)
 #: Targets count as met when none is off by more than this part of itself.
@@ -267,7 +267,7 @@ def fit_rates(scratch: Scratch, judged: DataFrame, domains: tuple[str, ...], tar
     (miss,) = sums(rated, [F.col("rate")])
     last, slow, reach = np.zeros(k), 0, 1e-12
     for n in range(ROUNDS):
-        if np.abs(miss).max() <= CLOSE or slow == 2:
+        if np.abs(miss).max() <= CLOSE or slow == 3:
             break
         gram = curvature(rated, miss)
         reach = max(reach, float(np.linalg.eigvalsh(gram)[-1]))
@@ -276,7 +276,7 @@ def fit_rates(scratch: Scratch, judged: DataFrame, domains: tuple[str, ...], tar
         found = sums(rated, [_stepped(spread(c), max_rate) for c in tries])
         best = int(np.argmin([x @ x for x in found]))
         gain = 1 - (found[best] @ found[best]) / (miss @ miss)
-        slow = slow + 1 if gain < 1e-2 else 0
+        slow = slow + 1 if gain < 1e-3 else 0
         if gain <= 0:
             break
         # Rates are a written table: neither the plan nor a lost executor's work grows with the rounds.
