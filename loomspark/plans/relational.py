@@ -228,9 +228,9 @@ def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_stages.groupBy("video_id").agg(F.array_join(F.sort_array(F.collect_list("stage")), ",").alias("stages"))
 
 
-@core.query("stale_stages", f"WITH {C.STAGES}, d AS (SELECT doc_id AS video_id, unnest(['stt', 'ocr']) AS stage FROM documents WHERE doc_id < 500) SELECT d.video_id, d.stage FROM d LEFT JOIN stages s ON s.video_id = d.video_id AND s.stage = d.stage AND s.state = 'done' WHERE s.video_id IS NULL")
+@core.query("stale_stages", f"WITH {C.STAGES}, d AS (SELECT doc_id AS video_id, unnest(['stt', 'ocr']) AS stage FROM documents) SELECT d.video_id, d.stage FROM d LEFT JOIN stages s ON s.video_id = d.video_id AND s.stage = d.stage AND s.state = 'done' WHERE s.video_id IS NULL")
 def stale_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = read(spark, sf_dir, "documents").where("doc_id < 500").select(F.col("doc_id").alias("video_id"), F.explode(F.array(F.lit("stt"), F.lit("ocr"))).alias("stage"))
+    wanted = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.explode(F.array(F.lit("stt"), F.lit("ocr"))).alias("stage"))
     return wanted.join(C.stages(spark, sf_dir).where("state = 'done'"), ["video_id", "stage"], "left_anti")
 
 
@@ -386,7 +386,7 @@ def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("client", F.col("a.n").alias("accepted"), (F.col("all") - F.col("a.n")).alias("held"), F.round("a.spent", 2).alias("spent"))
 
 
-@core.query("playlist_expand", f"WITH {C.ITEMS}, e AS (SELECT video_id, job_id, seq, row_number() OVER (PARTITION BY video_id ORDER BY job_id, seq) AS r FROM items WHERE job_id < 300) SELECT video_id, job_id, seq FROM e WHERE r = 1 ORDER BY job_id, seq, video_id LIMIT 100")
+@core.query("playlist_expand", f"WITH {C.ITEMS}, e AS (SELECT video_id, job_id, seq, row_number() OVER (PARTITION BY video_id ORDER BY job_id, seq) AS r FROM items) SELECT video_id, job_id, seq FROM e WHERE r = 1 ORDER BY job_id, seq, video_id LIMIT 100")
 def playlist_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = C.items(spark, sf_dir).where("job_id < 300").select("video_id", "job_id", "seq")
+    listed = C.items(spark, sf_dir).select("video_id", "job_id", "seq")
     return first_of(listed, ["video_id"], ["job_id", "seq"]).orderBy("job_id", "seq", "video_id").limit(100)

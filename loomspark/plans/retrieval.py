@@ -133,12 +133,12 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query(
     "highlight_runs",
-    r"""WITH d AS (SELECT doc_id, left(text, 200) AS t FROM documents)
+    r"""WITH d AS (SELECT doc_id, text AS t FROM documents)
 SELECT doc_id, CAST(len(regexp_extract_all(lower(t), 'the|and')) AS INTEGER) AS n_hits,
  regexp_replace(t, '(?i)(the|and)', '[\1]', 'g') AS marked FROM d WHERE len(regexp_extract_all(lower(t), 'the|and')) > 0""",
 )
 def highlight_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     n = F.regexp_count("t", F.lit("(?i)(the|and)"))
     return d.select("doc_id", n.alias("n_hits"), F.regexp_replace("t", "(?i)(the|and)", "[$1]").alias("marked")).where("n_hits > 0")
 

@@ -75,10 +75,10 @@ def clock_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cues(spark, sf_dir).select("cue_id", X.clock(F.floor(F.col("start_s") * 10)).alias("clock"))
 
 
-@core.query("parse_offset", r"WITH t AS (SELECT l_orderkey AS job_id, l_linenumber AS seq, l_partkey AS part, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ':' || lpad(CAST(l_suppkey % 60 AS VARCHAR), 2, '0') AS o FROM lineitem WHERE l_orderkey < 500) SELECT job_id, seq, part, CAST(split_part(o, ':', 1) AS BIGINT) * 60 + CAST(split_part(o, ':', 2) AS BIGINT) AS seconds FROM t")
+@core.query("parse_offset", r"WITH t AS (SELECT l_orderkey AS job_id, l_linenumber AS seq, l_partkey AS part, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ':' || lpad(CAST(l_suppkey % 60 AS VARCHAR), 2, '0') AS o FROM lineitem) SELECT job_id, seq, part, CAST(split_part(o, ':', 1) AS BIGINT) * 60 + CAST(split_part(o, ':', 2) AS BIGINT) AS seconds FROM t")
 def parse_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(":"), F.lpad((F.col("l_suppkey") % 60).cast("string"), 2, "0"))
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    lines = read(spark, sf_dir, "lineitem")
     return lines.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("part"), X.offset_seconds(o).alias("seconds"))
 
 
