@@ -46,7 +46,7 @@ from loomspark.llm.store import Scratch
 #: Words, and runs of anything that is neither letter nor white space.
 TOKEN = r"\p{L}+|[^\p{L}\s]+"
 SIGNS = r"[|#$%&*!<>={}_~^]"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CAPITALS = "[A-Z]"
 #: Letters of the beginning of a longer word, a token of its own.
 PREFIX = 5
 VOCABULARY = 500
@@ -66,25 +66,29 @@ CLOSE = 1e-4
 STILL = 1e-5
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+def _features(docs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, tokens, words, starts, shape): a count, distinct tokens, beginnings of the longer ones, tokens for a text's shape.
 
-
-def _features(tokens: Column, text: Column) -> Column:
-    """Distinct tokens, beginnings of the longer ones, and tokens for a text's shape."""
-    size = F.greatest(F.size(tokens), F.lit(1))
+    Each step is a projection of its own: what is used several times is computed once.
+    """
     step = lambda name, x, most: F.concat(F.lit(name), F.least(F.floor(x), F.lit(most)).cast("string"))
-    body = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(body), F.lit(1))
-    new = F.array_distinct(tokens)
-    long = F.filter(new, lambda t: F.length(t) > PREFIX)
-    shape = F.array(
-        step("new:", 20 * F.size(new) / size, 20),
-        step("signs:", 20 * F.regexp_count(body, F.lit(SIGNS)) / size, 40),
-        step("length:", 4 * chars / size, 80),
-        step("capitals:", 50 * (chars - F.length(F.translate(body, CAPITALS, ""))) / chars, 50),
+    body = docs.select(*keys, F.coalesce("text", F.lit("")).alias("__body"))
+    split = body.select(*keys, "__body", F.regexp_extract_all(F.lower("__body"), F.lit(TOKEN), F.lit(0)).alias("__all"))
+    new = split.select(*keys, "__body", F.size("__all").cast("long").alias("tokens"), F.array_distinct("__all").alias("words"))
+    size, chars = F.greatest("tokens", F.lit(1)), F.greatest(F.length("__body"), F.lit(1))
+    long = F.filter("words", lambda t: F.length(t) > PREFIX)
+    return new.select(
+        *keys,
+        "tokens",
+        "words",
+        F.array_distinct(F.transform(long, lambda t: F.concat(F.lit("^"), F.left(t, F.lit(PREFIX))))).alias("starts"),
+        F.array(
+            step("new:", 20 * F.size("words") / size, 20),
+            step("signs:", 20 * F.regexp_count("__body", F.lit(SIGNS)) / size, 40),
+            step("length:", 4 * chars / size, 80),
+            step("capitals:", 50 * F.regexp_count("__body", F.lit(CAPITALS)) / chars, 50),
+        ).alias("shape"),
     )
-    return F.concat(new, F.transform(long, lambda t: F.concat(F.lit("^"), F.left(t, F.lit(PREFIX)))), shape)
 
 
 @dataclass(frozen=True)
@@ -98,10 +102,10 @@ class Classifier:
     temperature: float = 1.0
 
 
-def _held(tokens: Column, text: Column, vocabulary: tuple[str, ...]) -> Column:
-    """Tokens of the vocabulary that a text has, each once."""
+def _held(vocabulary: tuple[str, ...]) -> Column:
+    """Of ``_features``, those of the vocabulary, each once."""
     known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    return F.array_intersect(_features(tokens, text), known)
+    return F.array_intersect(F.concat("words", "starts", "shape"), known)
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +132,10 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> tuple[n
 
 def _evidence(docs: DataFrame, model: Classifier, *keys: str) -> DataFrame:
     """(keys, tokens, s0, s1, ...): one row for each doc_id, the mean over its rows."""
-    tokens = docs.select(*keys, "text", _tokens(F.col("text")).alias("all"))
-    held = _held(F.col("all"), F.col("text"), model.vocabulary)
     # The empty token stands for the row itself: a text may hold nothing of the vocabulary.
-    spread = tokens.select(
-        *keys, F.size("all").cast("long").alias("tokens"), F.explode(F.concat(F.array(F.lit("")), held)).alias("token")
-    )
+    held = _features(docs, *keys).select(*keys, "tokens", F.concat(F.array(F.lit("")), _held(model.vocabulary)).alias("held"))
+    # Never empty; a plain explode would add a filter that computes all of it a second time.
+    spread = held.select(*keys, "tokens", F.explode_outer("held").alias("token"))
     rows = F.count_if(F.col("token") == "")
     sums = [(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) / rows + model.bias[i]).alias(f"s{i}") for i in range(len(model.domains))]
     return spread.join(F.broadcast(model.weights), "token", "left").groupBy(*keys).agg(F.max("tokens").alias("tokens"), *sums)
@@ -159,13 +161,13 @@ def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000) -> C
     fold = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4))
     picked = known.where(draw < F.lit(min(1.0, max_labelled / total) * 1e6)).withColumn("unseen", fold == 0)
     labelled_docs = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    taught = labelled_docs.where("NOT unseen").select(
-        F.array_distinct(_features(_tokens(F.col("text")), F.col("text"))).alias("tokens"), "domain"
-    )
+    taught = _features(labelled_docs.where("NOT unseen"), "domain")
     counts = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
     seen = taught.agg(*counts).first()
     n = [float(x) for x in seen]
-    by_token = taught.select(F.explode("tokens").alias("token"), "domain").groupBy("token").agg(F.count("*").alias("n"), *counts)
+    every = taught.select("domain", F.concat("words", "starts", "shape").alias("held"))
+    # An outer explode adds no filter on the array, which would be computed over all documents, below the join.
+    by_token = every.select(F.explode_outer("held").alias("token"), "domain").groupBy("token").agg(F.count("*").alias("n"), *counts)
     told = by_token.where(F.col("n") >= LEAST_DOCS)
     parts = [max(x, 0.5) / max(sum(n), 1.0) for x in n]
     off = [F.abs(F.col(f"n{i}") - F.col("n") * p) / F.sqrt(F.col("n") * p * max(1 - p, 1e-9)) for i, p in enumerate(parts)]
@@ -173,11 +175,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000) -> C
     best = told.where(telling >= LEAST_TELLING).orderBy(telling.desc(), "token").limit(VOCABULARY).select("token")
     vocabulary = tuple(r["token"] for r in best.collect())  # VOCABULARY rows at most
     place = {t: i for i, t in enumerate(vocabulary)}
-    rows = (
-        labelled_docs.where("NOT unseen")
-        .select("domain", _held(_tokens(F.col("text")), F.col("text"), vocabulary).alias("held"))
-        .collect()  # about max_labelled rows at most, each with tokens of the vocabulary
-    )
+    rows = taught.select("domain", _held(vocabulary).alias("held")).collect()  # about max_labelled rows at most, each with tokens of the vocabulary
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     for i, r in enumerate(rows):
         x[i, [place[t] for t in r["held"]]] = 1
