@@ -27,11 +27,30 @@ def valid_tag(tag: Column) -> Column:
     return tag.rlike("^[a-z0-9]+:[a-z0-9][a-z0-9._-]{0,63}$")
 
 
+#: White space as Unicode has it: a no-break space as well.
+BLANK = r"[\s\p{Z}\x1C-\x1F\x85]"
+#: The longest tail that is taken for an attribution.
+TAIL_CHARS = 70
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def split_title(title: Column) -> tuple[Column, Column, Column]:
-    """(title, speaker, organisation) at the last dash between blanks; the tail splits at its comma."""
-    pattern = r"^(.*)\s+[-–—]\s+(.*)$"
-    tail = F.regexp_extract(title, pattern, 2)
-    return F.regexp_extract(title, pattern, 1), F.split_part(tail, F.lit(", "), F.lit(1)), F.split_part(tail, F.lit(", "), F.lit(2))
+    """(title, speaker, organisation) at the last dash between blanks; the tail splits at its first comma.
+
+    A tail that is empty, long or ends in a question mark is no attribution: the whole title stays, null is empty.
+    """
+    text = strip(F.coalesce(title, F.lit("")))
+    cut = f"{BLANK}+[-–—]{BLANK}+"
+    tail = F.element_at(F.split(text, cut), -1)
+    head = strip(F.regexp_replace(F.left(text, F.length(text) - F.length(tail)), f"{cut}$", ""))
+    split = (head != "") & (tail != "") & (F.length(tail) <= TAIL_CHARS) & ~tail.endswith("?")
+    comma = F.instr(tail, ",")
+    speaker = F.when(comma > 0, strip(F.left(tail, comma - 1))).otherwise(tail)
+    org = F.when(comma > 0, strip(F.substring(tail, comma + 1, F.length(tail)))).otherwise("")
+    return F.when(split, head).otherwise(text), F.when(split, speaker).otherwise(""), F.when(split, org).otherwise("")
 
 
 def primary_language(tag: Column) -> Column:
@@ -62,22 +81,34 @@ def offset_seconds(text: Column) -> Column:
 
 
 #: Seconds of a unit; a month has 30 days and a year 365.
-_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000, "year": 31536000}
+_UNITS = {"s": 1, "sec": 1, "secs": 1, "m": 60, "min": 60, "mins": 60, "h": 3600, "hr": 3600, "hrs": 3600, "d": 86400, "w": 604800, "mo": 2592000, "y": 31536000}
+_DAY = r"\d{4}-\d{2}-\d{2}"
+_CLOCK = r"\d{2}:\d{2}(:\d{2}(\.\d+)?)?"
+_ZONE = r"(Z|[+-]\d{2}:\d{2})"
 
 
 def corpus_time(text: Column, now: int) -> Column:
-    """now, today, yesterday, N units ago, or unix seconds -> unix seconds; null for anything else."""
-    said = F.lower(F.trim(text))
-    ago = r"^(\d+) (second|minute|hour|day|week|month|year)s? ago$"
+    """now, today, yesterday, ``N unit ago``, unix seconds of 9 digits or more, ISO days and stamps -> unix seconds.
+
+    A stamp without a zone is UTC. Null for anything else, and for more than 64 characters.
+    """
+    said = F.when(F.length(text) <= 64, F.lower(strip(text)))
+    # Spark's cast wants seconds before a zone.
+    iso = F.regexp_replace(F.upper(said), rf"^({_DAY}[T ]\d{{2}}:\d{{2}})({_ZONE}?)$", "$1:00$2")
+    ago = rf"^(\d+){BLANK}*({'|'.join(_UNITS)}){BLANK}*ago$"
     unit = F.create_map(*[F.lit(x) for kv in _UNITS.items() for x in kv])
     count = F.regexp_extract(said, ago, 1).try_cast("long")
     midnight = now - now % 86400
+    stamp = lambda x: F.unix_timestamp(x.try_cast("timestamp"))
     return (
         F.when(said == "now", F.lit(now).cast("long"))
         .when(said == "today", F.lit(midnight).cast("long"))
         .when(said == "yesterday", F.lit(midnight - 86400).cast("long"))
         .when(said.rlike(ago), F.lit(now) - count * F.element_at(unit, F.regexp_extract(said, ago, 2)))
         .when(said.rlike(r"^\d{9,}$"), said.try_cast("long"))
+        .when(iso.rlike(f"^{_DAY}$"), stamp(F.concat(iso, F.lit("T00:00:00Z"))))
+        .when(iso.rlike(f"^{_DAY}[T ]{_CLOCK}{_ZONE}$"), stamp(iso))
+        .when(iso.rlike(f"^{_DAY}[T ]{_CLOCK}$"), stamp(F.concat(iso, F.lit("Z"))))
     )
 
 

@@ -35,9 +35,24 @@ def tag_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", X.valid_tag(tag).alias("valid"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name"))
 
 
-@core.query("split_title", r"WITH t AS (SELECT p_partkey, p_name || ' - ' || p_brand || ', ' || p_type AS t FROM part) SELECT p_partkey, regexp_extract(t, '^(.*)\s+[-–—]\s+(.*)$', 1) AS title, split_part(regexp_extract(t, '^(.*)\s+[-–—]\s+(.*)$', 2), ', ', 1) AS speaker, split_part(regexp_extract(t, '^(.*)\s+[-–—]\s+(.*)$', 2), ', ', 2) AS org FROM t")
+_CUT = r"[\s\p{Z}]+[-–—][\s\p{Z}]+"
+
+
+@core.query(
+    "split_title",
+    rf"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' - ' || p_brand || ', ' || p_type WHEN 1 THEN p_name
+  WHEN 2 THEN p_name || ' – ' || p_brand || '?' ELSE p_name || ' - ' || p_type || chr(160) || '—' || chr(160) || p_brand END AS t FROM part),
+c AS (SELECT *, string_split_regex(t, '{_CUT}')[-1] AS tail FROM t),
+h AS (SELECT *, regexp_replace(left(t, length(t) - length(tail)), '{_CUT}$', '') AS head FROM c),
+k AS (SELECT *, head <> '' AND tail <> '' AND length(tail) <= 70 AND right(tail, 1) <> '?' AS ok, instr(tail, ',') AS comma FROM h)
+SELECT p_partkey, CASE WHEN ok THEN head ELSE t END AS title,
+  CASE WHEN NOT ok THEN '' WHEN comma > 0 THEN trim(left(tail, comma - 1)) ELSE tail END AS speaker,
+  CASE WHEN ok AND comma > 0 THEN trim(substr(tail, comma + 1)) ELSE '' END AS org FROM k""",
+)
 def split_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat("p_name", F.lit(" - "), "p_brand", F.lit(", "), "p_type")
+    k, said = F.col("p_partkey") % 4, lambda *parts: F.concat(*[F.col(x) if x.startswith("p_") else F.lit(x) for x in parts])
+    t = F.when(k == 0, said("p_name", " - ", "p_brand", ", ", "p_type")).when(k == 1, F.col("p_name"))
+    t = t.when(k == 2, said("p_name", " – ", "p_brand", "?")).otherwise(said("p_name", " - ", "p_type", " — ", "p_brand"))
     title, speaker, org = X.split_title(t)
     return read(spark, sf_dir, "part").select("p_partkey", title.alias("title"), speaker.alias("speaker"), org.alias("org"))
 
@@ -82,10 +97,11 @@ def parse_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("part"), X.offset_seconds(o).alias("seconds"))
 
 
-@core.query("parse_corpus_time", f"WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'now' WHEN 1 THEN p_size || ' days ago' WHEN 2 THEN p_size || ' hours ago' ELSE 'sometime' END AS t, p_size FROM part) SELECT p_partkey, CAST(CASE WHEN t = 'now' THEN {N} WHEN t LIKE '%days ago' THEN {N} - p_size * 86400 WHEN t LIKE '%hours ago' THEN {N} - p_size * 3600 END AS BIGINT) AS at FROM t")
+@core.query("parse_corpus_time", f"SELECT p_partkey, CAST(CASE p_partkey % 5 WHEN 0 THEN {N} WHEN 1 THEN {N} - p_size * 86400 WHEN 2 THEN {N} - p_size * 2592000 WHEN 3 THEN epoch(DATE '2024-01-01' + p_size::INTEGER) END AS BIGINT) AS at FROM part")
 def parse_corpus_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    said = F.when(k == 0, "now").when(k == 1, F.concat("p_size", F.lit(" days ago"))).when(k == 2, F.concat("p_size", F.lit(" hours ago"))).otherwise("sometime")
+    k = F.col("p_partkey") % 5
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")).cast("string")
+    said = F.when(k == 0, "now").when(k == 1, F.concat("p_size", F.lit("d ago"))).when(k == 2, F.concat("p_size", F.lit(" mo ago"))).when(k == 3, day).otherwise("sometime")
     return read(spark, sf_dir, "part").select("p_partkey", X.corpus_time(said, N).alias("at"))
 
 
