@@ -12,8 +12,13 @@ Work is per row, whole arrays at a time; a row never meets another row.
 Defined results
 * null payload: no stream (null columns); empty payload: a stream of one empty
   elementary packet, which reads back as empty.
-* a stored value that is not a transport stream raises ``BadStream`` in
-  ``demux``; in ``read_streams`` it gives ``error`` and null columns.
+* a stored value whose packets or program tables can't be read raises
+  ``BadStream`` in ``demux``; in ``read_streams`` it gives ``error`` and null columns.
+* elementary packets that lost or damaged transport packets left incomplete raise
+  ``BadStream`` too, but in ``read_streams``, as with ``salvage``, they are counted
+  in ``damaged`` and left out, and those that are whole are returned. A packet
+  sent twice in a row counts once; a counter may jump where the discontinuity flag says so.
+* changed bytes inside an elementary packet that leave every header whole can't be seen.
 * extra columns pass through ``with_streams`` untouched.
 """
 
@@ -62,7 +67,10 @@ class Stream:
     pts: list[int]
     #: (transport packet number, presentation time) of each random-access point.
     access_points: list[tuple[int, int]]
+    #: Places where the continuity counter jumps without a discontinuity flag.
     counter_errors: int
+    #: Elementary packets that are not whole; ``payload`` and ``pts`` leave them out.
+    damaged: int
 
 
 def _crc_table() -> list[int]:
@@ -173,62 +181,113 @@ def mux(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _read_section(packet: bytes, table_id: int) -> bytes:
-    start = 5 + packet[4] if packet[3] >> 4 & 3 == 1 else 6 + packet[4] + packet[5 + packet[4]]
-    size = 3 + ((packet[start + 1] & 0x0F) << 8 | packet[start + 2])
-    section = packet[start : start + size]
-    if len(section) < size or section[0] != table_id or crc32_mpeg(section) != 0:
-        raise BadStream("a program table is damaged")
-    return section
-
-
-def demux(stored: bytes) -> Stream:
+def _section_of(rows: np.ndarray, table_id: int) -> bytes:
+    """The first intact section of a table's packets; it may run over several of them."""
+    held: bytes | None = None
+    for packet in rows:
+        control = packet[3] >> 4 & 3
+        start = 5 + int(packet[4]) if control & 2 else 4
+        if packet[1] & 0x80 or not control & 1 or start >= PACKET:
+            continue
+        body = packet[start:].tobytes()
+        parts = [(held, body)]
+        if packet[1] & 0x40:  # a section begins behind the pointer; what stands before it ends the last one
+            at = 1 + body[0]
+            parts = [(held, body[1:at]), (b"", body[at:])]
+        for before, more in parts:
+            held = None if before is None else before + more
+            if held is None or len(held) < 3:
+                continue
+            size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+            if len(held) >= size:
+                if held[0] == table_id and size >= 12 and crc32_mpeg(held[:size]) == 0:
+                    return held[:size]
+                held = None
+    raise BadStream("a program table is missing or damaged")
+
+
+def _streams(rows: np.ndarray, pids: np.ndarray) -> list[tuple[int, int]]:
+    """(packet id, stream type) of every elementary stream of the first program."""
+    pat = _section_of(rows[pids == PAT_PID], 0x00)
+    programs = [(pat[i] << 8 | pat[i + 1], (pat[i + 2] & 0x1F) << 8 | pat[i + 3]) for i in range(8, len(pat) - 7, 4)]
+    maps = [pid for number, pid in programs if number]
+    if not maps:
+        raise BadStream("the tables name no program")
+    pmt = _section_of(rows[pids == maps[0]], 0x02)
+    end, found = len(pmt) - 4, []
+    at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
+    while at + 5 <= end:
+        found.append(((pmt[at + 1] & 0x1F) << 8 | pmt[at + 2], pmt[at]))
+        at += 5 + ((pmt[at + 3] & 0x0F) << 8 | pmt[at + 4])
+    if not found:
+        raise BadStream("the program has no stream")
+    return found
+
+
+def _read_pes(pes: bytes) -> tuple[bytes, int] | None:
+    """Data and presentation time (-1 without one) of an elementary packet; None if it is not whole."""
+    if len(pes) < 9 or pes[:3] != b"\x00\x00\x01" or pes[6] & 0xC0 != 0x80 or len(pes) < 9 + pes[8]:
+        return None
+    size = pes[4] << 8 | pes[5]
+    if size and len(pes) != 6 + size:  # size 0: up to the next elementary packet
+        return None
+    timed = pes[7] & 0x80 and pes[8] >= 5
+    return pes[9 + pes[8] :], _read_stamp(pes[9:14]) if timed else -1
+
+
+def demux(stored: bytes, pid: int | None = None, salvage: bool = False) -> Stream:
+    """Reads elementary stream ``pid``, or else the first that the program map names.
+
+    With ``salvage`` a damaged stream gives its whole elementary packets; without, it raises.
+    """
     if not stored or len(stored) % PACKET:
         raise BadStream("not a whole number of packets")
     rows = np.frombuffer(stored, np.uint8).reshape(-1, PACKET)
     if (rows[:, 0] != SYNC).any():
         raise BadStream("a packet lacks its sync byte")
     pids = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
+    named = _streams(rows, pids)
+    pid = named[0][0] if pid is None else pid
+    if pid not in dict(named):
+        raise BadStream("the program map doesn't name the stream")
 
-    def table(pid: int, table_id: int) -> bytes:
-        at = np.flatnonzero(pids == pid)
-        if not len(at):
-            raise BadStream("a program table is missing")
-        return _read_section(rows[at[0]].tobytes(), table_id)
-
-    pat = table(PAT_PID, 0x00)
-    programs = [(pat[i] << 8 | pat[i + 1], (pat[i + 2] & 0x1F) << 8 | pat[i + 3]) for i in range(8, len(pat) - 4, 4)]
-    pmt = table(next(pid for number, pid in programs if number), 0x02)
-    at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
-    stream_type, pid = pmt[at], (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2]
-
-    number = np.flatnonzero(pids == pid)
-    if not len(number):
-        raise BadStream("the stream has no packets")
+    number = np.flatnonzero((pids == pid) & ((rows[:, 3] & 0x10) > 0))
     ts = rows[number]
-    control = ts[:, 3] >> 4 & 3
-    counters = (ts[:, 3] & 0x0F).astype(np.int16)[(control & 1) == 1]
-    errors = int(((np.diff(counters) - 1) % 16 != 0).sum())
-    adapted = (control & 2) == 2
-    begins = np.where(adapted, 5 + ts[:, 4].astype(np.int16), 4)
-    begins[(control & 1) == 0] = PACKET
-    flags = np.where(adapted & (ts[:, 4] > 0), ts[:, 5], 0)
+    adapted = (ts[:, 3] & 0x20) > 0
+    length = np.where(adapted, ts[:, 4].astype(np.int16), 0)
+    flags = np.where(length > 0, ts[:, 5], 0)
+    begins = np.where(adapted, 5 + length, 4)
+    bad = ((ts[:, 1] & 0x80) > 0) | (begins > PACKET)
+    step = np.diff(ts[:, 3].astype(np.int16) & 0x0F) % 16
+    # A packet may be sent twice in a row; the clock reference in bytes 6 to 11 is all that may differ.
+    twice = np.r_[False, (step == 0) & (ts[1:, 12:] == ts[:-1, 12:]).all(1) & (ts[1:, :6] == ts[:-1, :6]).all(1)] if len(ts) else np.zeros(0, bool)
+    lost = np.r_[False, step != 1] & ~twice & ((flags & 0x80) == 0) if len(ts) else np.zeros(0, bool)
+    begins = np.where(twice, PACKET, np.minimum(begins, PACKET))
     body = ts[np.arange(PACKET) >= begins[:, None]].tobytes()
     ends = np.cumsum(PACKET - begins)
-    unit = np.flatnonzero(ts[:, 1] & 0x40)
-    if not len(unit) or unit[0] != 0:
-        raise BadStream("the stream begins inside an elementary packet")
+    unit = np.flatnonzero(((ts[:, 1] & 0x40) > 0) & ~twice)
+    if not len(unit):
+        raise BadStream("the stream has no elementary packet")
     edges = [*(ends[unit] - (PACKET - begins[unit])).tolist(), len(body)]
+    inside = lost.copy()
+    inside[unit] = False  # a gap before an elementary packet harms the one before it
+    tail = np.r_[lost[unit[1:]], False]
+    harmed = np.add.reduceat((inside | bad).astype(np.int32), unit) > 0
     chunks, pts, access = [], [], []
+    damaged = int(unit[0] > 0)
     for k, i in enumerate(unit.tolist()):
         pes = body[edges[k] : edges[k + 1]]
-        if pes[:3] != b"\x00\x00\x01" or len(pes) != 6 + (pes[4] << 8 | pes[5]):
-            raise BadStream("an elementary packet is incomplete")
-        pts.append(_read_stamp(pes[9:14]) if pes[7] & 0x80 else -1)
+        whole = None if harmed[k] or tail[k] and pes[4:6] == b"\0\0" else _read_pes(pes)
+        if whole is None:
+            damaged += 1
+            continue
+        chunks.append(whole[0])
+        pts.append(whole[1])
         if flags[i] & 0x40:
-            access.append((int(number[i]), pts[-1]))
-        chunks.append(pes[9 + pes[8] :])
-    return Stream(b"".join(chunks), pid, stream_type, len(rows), pts, access, errors)
+            access.append((int(number[i]), whole[1]))
+    if damaged and not salvage:
+        raise BadStream("an elementary packet is incomplete")
+    return Stream(b"".join(chunks), pid, dict(named)[pid], len(rows), pts, access, int(lost.sum()), damaged)
 
 
 def with_streams(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
@@ -254,6 +313,7 @@ STREAM = T.StructType(
             T.ArrayType(T.StructType([T.StructField("packet", T.LongType()), T.StructField("pts", T.LongType())])),
         ),
         T.StructField("counter_errors", T.IntegerType()),
+        T.StructField("damaged", T.IntegerType()),
         T.StructField("error", T.StringType()),
     ]
 )
@@ -266,7 +326,7 @@ def read_streams(df: DataFrame, media: str, out: str = "stream") -> DataFrame:
         if v is None:
             return None
         try:
-            s = demux(bytes(v))
+            s = demux(bytes(v), salvage=True)
         except BadStream as e:
             return {f.name: None for f in STREAM} | {"error": str(e)}
         points = [{"packet": n, "pts": t} for n, t in s.access_points]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import random
 import re
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.llm import language, licenses, mpegts, toxicity
+from loomspark.llm.queries import llm
 
 
 @pytest.mark.parametrize("n", [0, 1, 100, 161, 162, 163, 345, 346, 347, 32767, 32768, 32769, 99_999])
@@ -36,6 +38,60 @@ def test_stream_columns_and_damage(spark):
     assert mpegts.read_streams(rows.limit(0), "media").count() == 0
 
 
+def test_damaged_streams_never_raise_anything_else():
+    rng = random.Random(5)
+    for _ in range(4000):
+        b = bytearray(mpegts.mux(rng.randbytes(rng.choice([0, 5, 200, 900]))))
+        for _ in range(rng.randrange(1, 6)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        if rng.random() < 0.2:
+            at = rng.randrange(len(b) // 188) * 188
+            del b[at : at + 188]
+        try:
+            mpegts.demux(bytes(b), salvage=True)
+        except mpegts.BadStream:
+            pass
+
+
+def test_what_is_whole_in_a_damaged_stream_is_returned(spark):
+    data = os.urandom(200_000)
+    whole = mpegts.mux(data)
+    lost = whole[: 188 * 50] + whole[188 * 51 :]  # inside the first of seven elementary packets
+    s = mpegts.demux(lost, salvage=True)
+    assert s.payload == data[mpegts.PES_BYTES :] and s.counter_errors == 1 and s.damaged == 1 and len(s.pts) == 6
+    twice = whole[: 188 * 51] + whole[188 * 50 : 188 * 51] + whole[188 * 51 :]  # a packet may be sent twice
+    assert mpegts.demux(twice).payload == data and mpegts.demux(twice).counter_errors == 0
+    rows = spark.createDataFrame([(1, bytearray(lost))], "id long, media binary")
+    read = mpegts.read_streams(rows, "media").first()["stream"]
+    assert read["damaged"] == 1 and read["error"] is None and bytes(read["payload"]) == s.payload
+
+
+def test_a_table_over_several_packets():
+    body = b"".join(n.to_bytes(2, "big") + (0xE000 | mpegts.PMT_PID).to_bytes(2, "big") for n in range(1, 101))
+    section = mpegts._section(0x00, 1, body)
+    parts = [b"\0" + section[:183], *(section[i : i + 184] for i in range(183, len(section), 184))]
+    head = [bytes([mpegts.SYNC, 0x40 if k == 0 else 0, 0, 0x10 | k]) for k in range(len(parts))]
+    tables = b"".join((h + p).ljust(188, b"\xff") for h, p in zip(head, parts, strict=True))
+    assert mpegts.demux(tables + mpegts.mux(b"abc")[188:]).payload == b"abc"
+
+
+def test_media_query_on_awkward_texts(spark, tmp_path):
+    texts = [None, "", "a", "x" * 64, "ü" * 33, "long " * 60_000, "a"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in llm.functions()["op9_mpegts"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        media, r = mpegts.mux(payload), found[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        assert r["feature"].endswith("lost=0;damaged=0")
+    assert found[2]["feature"] == found[6]["feature"]
+
+
 def test_license_rules_against_plain_matching(spark):
     texts = [
         None,
