@@ -13,7 +13,7 @@ Defined results
 * null payload: no stream (null columns); empty payload: a stream of one empty
   elementary packet, which reads back as empty.
 * a stored value whose packets or program tables can't be read raises
-  ``BadStream`` in ``demux``; in ``read_streams`` it gives ``error`` and null columns.
+  ``BadStream`` in ``demux``; in ``read_streams`` it gives ``error`` and null fields; null gives null.
 * elementary packets that lost or damaged transport packets left incomplete raise
   ``BadStream`` too, but in ``read_streams``, as with ``salvage``, they are counted
   in ``damaged`` and left out, and those that are whole are returned. A packet
@@ -28,10 +28,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Fixed values of ISO/IEC 13818-1.
 PACKET = 188
@@ -52,6 +54,8 @@ PES_BYTES = 32_768
 PES_TICKS = CLOCK_HZ // 25
 #: Every so many elementary packets a reader may start.
 ACCESS_EVERY = 8
+#: Stored bytes that a task works on at a time.
+PIECE = 1 << 20
 
 
 class BadStream(ValueError):
@@ -290,13 +294,25 @@ def demux(stored: bytes, pid: int | None = None, salvage: bool = False) -> Strea
     return Stream(b"".join(chunks), pid, dict(named)[pid], len(rows), pts, access, int(lost.sum()), damaged)
 
 
+def _parts(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Batches in pieces of about ``PIECE`` bytes, a longer value alone: what is made of one piece is all that a task holds."""
+    for batch in values:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def with_streams(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
     """Adds binary column ``out``: the stream that stores binary column ``payload``."""
 
-    @F.pandas_udf(T.BinaryType())
-    def stored(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in values:
-            yield s.map(lambda v: None if v is None else mux(bytes(v)))
+    @F.arrow_udf(T.BinaryType())
+    def stored(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in _parts(values):
+            yield pa.array([None if v is None else mux(v) for v in part.to_pylist()], pa.binary())
 
     return df.withColumn(out, stored(F.col(payload)))
 
@@ -319,6 +335,9 @@ STREAM = T.StructType(
 )
 
 
+_STREAM_ARROW = to_arrow_type(STREAM)
+
+
 def read_streams(df: DataFrame, media: str, out: str = "stream") -> DataFrame:
     """Adds struct column ``out`` (see ``STREAM``) parsed from binary column ``media``."""
 
@@ -326,16 +345,14 @@ def read_streams(df: DataFrame, media: str, out: str = "stream") -> DataFrame:
         if v is None:
             return None
         try:
-            s = demux(bytes(v), salvage=True)
+            s = demux(v, salvage=True)
         except BadStream as e:
-            return {f.name: None for f in STREAM} | {"error": str(e)}
-        points = [{"packet": n, "pts": t} for n, t in s.access_points]
-        return vars(s) | {"access_points": points, "error": None}
-
-    @F.pandas_udf(STREAM)
-    def read(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in values:
-            rows = [parsed(v) or {} for v in s]
-            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in STREAM.names})
+            return {"error": str(e)}
+        return vars(s) | {"access_points": [{"packet": n, "pts": t} for n, t in s.access_points]}
+
+    @F.arrow_udf(STREAM)
+    def read(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in _parts(values):
+            yield pa.array([parsed(v) for v in part.to_pylist()], _STREAM_ARROW)
 
     return df.withColumn(out, read(F.col(media)))
