@@ -9,8 +9,8 @@
    than their farthest neighbour so far propose themselves. Only meetings with a
    new edge count.
 4. A query walks the graph from its own node and that one's neighbours: the
-   nearest ``BEAM`` nodes so far are expanded until none is new, at most ``WALKS``
-   times. What it ends with is scored on the original vectors.
+   nearest ``BEAM`` nodes so far are expanded until none of them is new. What it
+   ends with is scored on the original vectors.
 
 Rounds compare vectors as 8-bit numbers; scores are double precision cosines.
 Meetings are bounded by ``DEGREE + REVERSE``, walks by ``BEAM * DEGREE``.
@@ -27,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,6 @@ ROUNDS = 4
 ORDERS = 4
 BLOCK = 200
 BEAM = 100
-WALKS = 3
 
 _EDGES = "a long, b long, near float"
 
@@ -216,7 +216,6 @@ def build_graph(scratch: Scratch, points: DataFrame, n: int, dim: int) -> DataFr
         found = descend(graph, points, dim, k).withColumn("new", F.lit(True))
         after = scratch.keep(_nearest(graph.withColumn("new", F.lit(False)).unionByName(found), DEGREE), f"graph-{k}")
         scratch.drop(f"graph-{k - 1}")
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the round that is over
         graph = after
         if graph.where("new").count() < 0.001 * DEGREE * n:
             break
@@ -246,7 +245,7 @@ def walk(scratch: Scratch, graph: DataFrame, points: DataFrame, starts: DataFram
     queries = starts.select("q", "code").distinct()
     fresh = starts.select("q", "node")
     beam = None
-    for k in range(WALKS + 1):
+    for k in count():
         met = (
             fresh.distinct()
             .join(points.select("node", F.col("code").alias("c")), "node")
@@ -257,7 +256,8 @@ def walk(scratch: Scratch, graph: DataFrame, points: DataFrame, starts: DataFram
         joined = state.join(met, "q", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<node:long,code:binary>>")))
         beam = scratch.keep(joined.select("q", "code", "beam", "met").mapInArrow(advance, seen), f"beam-{k}")
         front = beam.select("q", F.explode("beam").alias("x")).where("NOT x.done").select("q", F.col("x.node").alias("node"))
-        if k == WALKS or front.isEmpty():
+        scratch.drop(f"beam-{k - 1}")
+        if front.isEmpty():  # every round expands each open node of a beam, and no node twice: this comes
             break
         fresh = front.join(graph.select(F.col("a").alias("node"), "b"), "node").select("q", F.col("b").alias("node"))
     return beam.select("q", F.explode("beam").alias("x")).select("q", F.col("x.node").alias("node"))
