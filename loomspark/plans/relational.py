@@ -176,16 +176,18 @@ def due_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.jobs(spark, sf_dir).where(f"state = 'queued' AND created <= {N}").select("job_id", "created").orderBy("created", "job_id").limit(5)
 
 
-@core.query("first_wins", f"WITH {C.VIDEOS}, r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY video_id) AS r FROM videos) SELECT video_id, title FROM r WHERE r = 1")
+@core.query("first_wins", "SELECT min(doc_id) AS video_id, sha256(text) AS sha256 FROM documents GROUP BY text")
 def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.videos(spark, sf_dir).groupBy("title").agg(F.min("video_id").alias("video_id")).select("video_id", "title")
+    texts = C.videos(spark, sf_dir).select("video_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return texts.groupBy("sha256").agg(F.min("video_id").alias("video_id"))
 
 
-@core.query("append_capped", f"WITH {C.ITEMS}, s AS (SELECT DISTINCT video_id FROM items WHERE job_id < 100), c AS (SELECT DISTINCT video_id FROM items WHERE job_id BETWEEN 100 AND 400 AND video_id NOT IN (SELECT video_id FROM s)) SELECT video_id FROM c ORDER BY video_id LIMIT 50")
+@core.query("append_capped", f"WITH {C.ITEMS}, s AS (SELECT DISTINCT video_id FROM items WHERE state = 'done'), c AS (SELECT DISTINCT video_id FROM items WHERE state = 'queued' AND video_id NOT IN (SELECT video_id FROM s)) SELECT video_id FROM c ORDER BY video_id LIMIT 50")
 def append_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queued videos that no job has done before, as many as there is room for."""
     items = C.items(spark, sf_dir)
-    seen = items.where("job_id < 100").select("video_id").distinct()
-    return items.where("job_id BETWEEN 100 AND 400").select("video_id").distinct().join(seen, "video_id", "left_anti").orderBy("video_id").limit(50)
+    seen = items.where("state = 'done'").select("video_id").distinct()
+    return items.where("state = 'queued'").select("video_id").distinct().join(seen, "video_id", "left_anti").orderBy("video_id").limit(50)
 
 
 @core.query("tag_delta", f"WITH {C.STAGES}, w AS (SELECT DISTINCT video_id FROM stages WHERE stage = 'stt'), h AS (SELECT DISTINCT video_id FROM stages WHERE stage = 'stt' AND state = 'done') SELECT (SELECT count(*) FROM h) AS present, (SELECT count(*) FROM w WHERE video_id NOT IN (SELECT video_id FROM h)) AS new")

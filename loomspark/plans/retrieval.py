@@ -194,13 +194,16 @@ def total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query(
     "evidence_ids",
-    f"""WITH {C.FRAMES}, f AS (SELECT video_id, t_s // 3600 AS hour, min(frame_id) AS first FROM frames WHERE frame_id < 200 GROUP BY ALL)
-SELECT video_id, hour, CAST(dense_rank() OVER (ORDER BY first) AS INTEGER) AS n FROM f""",
+    f"""WITH {C.FRAMES}, p AS (SELECT video_id, t_s, row_number() OVER (ORDER BY sharpness DESC NULLS LAST, frame_id) AS place FROM frames),
+f AS (SELECT video_id, t_s, min(place) AS first FROM p WHERE place <= 200 GROUP BY ALL)
+SELECT video_id, t_s, CAST(dense_rank() OVER (ORDER BY first) AS INTEGER) AS n FROM f""",
 )
 def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = C.frames(spark, sf_dir).where("frame_id < 200")  # a page of evidence
-    first = page.groupBy("video_id", F.expr("t_s div 3600").alias("hour")).agg(F.min("frame_id").alias("first"))
-    return R.ranked(first, ["first"], "n").select("video_id", "hour", "n")
+    """The best 200 frames' moments, numbered as they are first seen on that page."""
+    order = [F.desc_nulls_last("sharpness"), F.asc("frame_id")]
+    page = R.ranked(C.frames(spark, sf_dir).orderBy(*order).limit(200), order, "place")
+    first = page.groupBy("video_id", "t_s").agg(F.min("place").alias("first"))
+    return R.ranked(first, ["first"], "n").select("video_id", "t_s", "n")
 
 
 @core.query(
