@@ -18,6 +18,7 @@ _QUERIES = (
     "q_neighbours",
     "q_packing",
     "q_passages",
+    "q_secrets",
     "q_toxicity",
 )
 
