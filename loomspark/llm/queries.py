@@ -20,6 +20,7 @@ _QUERIES = (
     "q_passages",
     "q_secrets",
     "q_toxicity",
+    "q_trie",
 )
 
 for _m in _QUERIES:

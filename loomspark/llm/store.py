@@ -47,14 +47,15 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``by``: a column of few values whose rows are written to folders of their own."""
         path = f"{self.root}/{name}"
         self._names.add(name)
         before = {k: self.spark.conf.get(k) for k in _SETTINGS}
         for k, v in _SETTINGS.items():
             self.spark.conf.set(k, v)
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(path, partitionBy=by)
         finally:
             for k, v in before.items():
                 self.spark.conf.set(k, v)
