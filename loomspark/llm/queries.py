@@ -21,6 +21,7 @@ _QUERIES = (
     "q_secrets",
     "q_toxicity",
     "q_trie",
+    "q_vectors",
 )
 
 for _m in _QUERIES:
