@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.operators import inverted as I
 from loomspark.operators import retrieval as R
 from loomspark.plans import corpus as C
 from loomspark.registry import core
@@ -27,12 +26,22 @@ bm AS (SELECT doc_id, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::
   FROM tf JOIN df USING (term), st GROUP BY doc_id HAVING sum(tf) > 0)"""
 
 
-@lru_cache
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     row = read(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
     return list(row["embedding"])
 
 
+def words_index(spark: SparkSession, sf_dir: str) -> I.Index:
+    """Plain words of all documents, stored."""
+    return I.open_or_build(spark, f"{sf_dir}/documents.parquet", "doc_id", {"text": F.col("text")}, I.PLAIN)
+
+
+def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k best documents for any of ``TERMS``, from their postings."""
+    found = I.match(words_index(spark, sf_dir), TERMS, mode="any", fields=["text"])
+    return found.select(F.col("id").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(k)
+
+
 def _knn(spark: SparkSession, sf_dir: str, k: int, scope: str = "true") -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").where(scope)
     return R.knn(rows, _query_vector(spark, sf_dir), k, "vec_id", "embedding")
@@ -54,7 +63,7 @@ def relevance_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @core.query("bm25_topk", f"WITH {_BM25} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 25")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(read(spark, sf_dir, "documents"), TERMS, 25, "doc_id", "text")
+    return _bm25(spark, sf_dir, 25)
 
 
 @core.query(
@@ -67,7 +76,7 @@ f AS (SELECT id, round(sum(1 / (60::DOUBLE + r)), 6) AS score, count(*) AS n_leg
 SELECT * FROM f ORDER BY score DESC, n_legs DESC, id LIMIT 20""",
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical = R.bm25(read(spark, sf_dir, "documents"), TERMS, 200, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    lexical = _bm25(spark, sf_dir, 200).withColumnRenamed("doc_id", "id")
     vector = _knn(spark, sf_dir, 200).withColumnRenamed("vec_id", "id")
     fused = R.rrf([R.ranked(lexical, [F.desc("score"), "id"]), R.ranked(vector, ["distance", "id"])], "id")
     return fused.orderBy(F.desc("score"), F.desc("n_legs"), "id").limit(20)
@@ -79,8 +88,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
  (SELECT count(*) FROM embeddings) AS n_vec_knn""",
 )
 def leg_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "documents").select(R.tokens(F.col("text")).alias("w"))
-    fts = words.agg(F.count_if(F.arrays_overlap("w", F.array(*map(F.lit, TERMS)))).alias("n_fts"))
+    fts = words_index(spark, sf_dir).postings(TERMS).select("id").distinct().agg(F.count("*").alias("n_fts"))
     q = F.array(*map(F.lit, _query_vector(spark, sf_dir)))
     near = F.round(R.cosine_distance(F.col("embedding"), q), 6) <= 0.7
     vec = read(spark, sf_dir, "embeddings").agg(F.count_if(near).alias("n_vec"), F.count("*").alias("n_vec_knn"))
@@ -103,8 +111,8 @@ def leg_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_BM25} SELECT count(*) > 0 AS has_footing FROM bm",
 )
 def lexical_footing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "documents").where(F.arrays_overlap(R.tokens(F.col("text")), F.array(*map(F.lit, TERMS))))
-    return words.limit(1).agg((F.count("*") > 0).alias("has_footing"))  # stops at the first hit
+    hits = words_index(spark, sf_dir).vocabulary(TERMS)  # a term in the vocabulary is in some document
+    return hits.limit(1).agg((F.count("*") > 0).alias("has_footing"))
 
 
 @core.query(
@@ -123,9 +131,9 @@ def title_footing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, array_to_string(list_slice(ws, greatest(1, pos - 8), greatest(1, pos - 8) + 15), ' ') AS snippet FROM p WHERE pos > 0""",
 )
 def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    top = R.bm25(docs, TERMS, 10, "doc_id", "text").select("doc_id")  # ten rows: snippets are cut for the page only
-    at = docs.join(F.broadcast(top), "doc_id").select("doc_id", R.tokens(F.col("text")).alias("w"))
+    top = [r["doc_id"] for r in _bm25(spark, sf_dir, 10).collect()]  # a page of ids, which the scan can prune by
+    docs = read(spark, sf_dir, "documents").where(F.col("doc_id").isin(*top))
+    at = docs.select("doc_id", R.tokens(F.col("text")).alias("w"))
     at = at.withColumn("at", F.array_position("w", "the").cast("int")).where("at > 0")
     begin = F.greatest(F.lit(1), F.col("at") - 8)
     return at.select("doc_id", F.array_join(F.slice("w", begin, F.lit(16)), " ").alias("snippet"))
