@@ -67,7 +67,7 @@ STILL = 1e-5
 
 
 def _features(docs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, tokens, words, starts, shape): a count, distinct tokens, beginnings of the longer ones, tokens for a text's shape.
+    """(keys, tokens, held): a count; distinct tokens, and tokens for a text's shape, which begin with a colon and a letter.
 
     Each step is a projection of its own: what is used several times is computed once.
     """
@@ -76,19 +76,18 @@ def _features(docs: DataFrame, *keys: str) -> DataFrame:
     split = body.select(*keys, "__body", F.regexp_extract_all(F.lower("__body"), F.lit(TOKEN), F.lit(0)).alias("__all"))
     new = split.select(*keys, "__body", F.size("__all").cast("long").alias("tokens"), F.array_distinct("__all").alias("words"))
     size, chars = F.greatest("tokens", F.lit(1)), F.greatest(F.length("__body"), F.lit(1))
-    long = F.filter("words", lambda t: F.length(t) > PREFIX)
-    return new.select(
-        *keys,
-        "tokens",
-        "words",
-        F.array_distinct(F.transform(long, lambda t: F.concat(F.lit("^"), F.left(t, F.lit(PREFIX))))).alias("starts"),
-        F.array(
-            step("new:", 20 * F.size("words") / size, 20),
-            step("signs:", 20 * F.regexp_count("__body", F.lit(SIGNS)) / size, 40),
-            step("length:", 4 * chars / size, 80),
-            step("capitals:", 50 * F.regexp_count("__body", F.lit(CAPITALS)) / chars, 50),
-        ).alias("shape"),
+    shape = F.array(
+        step(":new:", 20 * F.size("words") / size, 20),
+        step(":signs:", 20 * F.regexp_count("__body", F.lit(SIGNS)) / size, 40),
+        step(":length:", 4 * chars / size, 80),
+        step(":capitals:", 50 * F.regexp_count("__body", F.lit(CAPITALS)) / chars, 50),
     )
+    return new.select(*keys, "tokens", F.concat("words", shape).alias("held"))
+
+
+def _begins(token: Column) -> Column:
+    """What a longer word begins with, marked; null for other tokens."""
+    return F.when((F.length(token) > PREFIX) & ~token.startswith(":"), F.concat(F.lit("^"), F.left(token, F.lit(PREFIX))))
 
 
 @dataclass(frozen=True)
@@ -96,49 +95,47 @@ class Classifier:
     domains: tuple[str, ...]
     #: Evidence of a text that holds nothing of the vocabulary, by domain.
     bias: tuple[float, ...] = ()
-    #: (token, w0, w1, ...): at most ``VOCABULARY`` rows; and the tokens once more.
+    #: (token, w0, w1, ...): at most ``VOCABULARY`` rows.
     weights: DataFrame | None = None
-    vocabulary: tuple[str, ...] = ()
     temperature: float = 1.0
 
 
-def _held(vocabulary: tuple[str, ...]) -> Column:
-    """Of ``_features``, those of the vocabulary, each once."""
-    known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    return F.array_intersect(F.concat("words", "starts", "shape"), known)
-
-
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic weights and intercepts by accelerated gradient steps; y: one column for each domain."""
     n, k = y.shape
-    a = np.column_stack([x, np.ones(n)])
-    penalty = np.r_[np.full(x.shape[1], ridge), 1e-3][:, None] / n
-    v = np.ones(a.shape[1]) / np.sqrt(a.shape[1])
+    a = np.column_stack([x, np.ones(n, x.dtype)])
+    penalty = (np.r_[np.full(x.shape[1], ridge), 1e-3][:, None] / n).astype(x.dtype)
+    v = (np.ones(a.shape[1]) / np.sqrt(a.shape[1])).astype(x.dtype)
     for _ in range(20):  # the largest curvature, for the length of a step
         v = a.T @ (a @ v)
         size = float(np.linalg.norm(v))
         v /= max(size, 1e-12)
     step = 1 / (0.5 * size / n + float(penalty.max()))
-    w = ahead = np.zeros((a.shape[1], k))
+    w = ahead = np.zeros((a.shape[1], k), x.dtype)
     for i in range(FIT_STEPS):
         z = a @ ahead
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        after = ahead - step * (a.T @ (p - y) / n + penalty * ahead)
+        after = (ahead - step * (a.T @ (p - y) / n + penalty * ahead)).astype(x.dtype)
         ahead = after + i / (i + 3) * (after - w)
         w = after
     return w[:-1], w[-1]
 
 
-def _evidence(docs: DataFrame, model: Classifier, *keys: str) -> DataFrame:
-    """(keys, tokens, s0, s1, ...): one row for each doc_id, the mean over its rows."""
-    # The empty token stands for the row itself: a text may hold nothing of the vocabulary.
-    held = _features(docs, *keys).select(*keys, "tokens", F.concat(F.array(F.lit("")), _held(model.vocabulary)).alias("held"))
-    # Never empty; a plain explode would add a filter that computes all of it a second time.
-    spread = held.select(*keys, "tokens", F.explode_outer("held").alias("token"))
-    rows = F.count_if(F.col("token") == "")
-    sums = [(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) / rows + model.bias[i]).alias(f"s{i}") for i in range(len(model.domains))]
-    return spread.join(F.broadcast(model.weights), "token", "left").groupBy(*keys).agg(F.max("tokens").alias("tokens"), *sums)
+def _evidence(featured: DataFrame, model: Classifier, *keys: str) -> DataFrame:
+    """(keys, tokens, s0, s1, ...) of ``_features``: one row for each doc_id, the mean over its rows.
+
+    A token counts once in a row, a beginning once for each word that has it.
+    """
+    # The empty token stands for the row itself. Never empty; a plain explode would add a filter that computes all of it a second time.
+    spread = featured.select(*keys, "tokens", F.explode_outer(F.concat(F.array(F.lit("")), "held")).alias("token")).withColumn("start", _begins(F.col("token")))
+    k = len(model.domains)
+    mark = lambda of: model.weights.select(F.col("token").alias(of), *[F.col(f"w{i}").alias(f"{of}{i}") for i in range(k)])
+    weighed = spread.join(F.broadcast(mark("token")), "token", "left").join(F.broadcast(mark("start")), "start", "left")
+    rows, none = F.count_if(F.col("token") == ""), F.lit(0.0)
+    weight = lambda i: F.coalesce(f"token{i}", none) + F.coalesce(f"start{i}", none)
+    sums = [(F.sum(weight(i)) / rows + model.bias[i]).alias(f"s{i}") for i in range(k)]
+    return weighed.groupBy(*keys).agg(F.max("tokens").alias("tokens"), *sums)
 
 
 def _softmax(k: int, temperature: float) -> list[Column]:
@@ -149,7 +146,7 @@ def _softmax(k: int, temperature: float) -> list[Column]:
     return [p / total for p in parts]
 
 
-def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000) -> Classifier:
+def train(scratch: Scratch, docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000) -> Classifier:
     """``docs`` (doc_id, text), ``labelled`` (doc_id, domain)."""
     known = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
@@ -160,32 +157,36 @@ def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000) -> C
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4))
     picked = known.where(draw < F.lit(min(1.0, max_labelled / total) * 1e6)).withColumn("unseen", fold == 0)
+    # All documents are read once: what the labelled ones hold is written down.
     labelled_docs = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    taught = _features(labelled_docs.where("NOT unseen"), "domain")
+    numbered = _features(labelled_docs, "doc_id", "domain", "unseen").withColumn("row", F.monotonically_increasing_id())
+    featured = scratch.keep(numbered, "labelled")
+    taught = featured.where("NOT unseen")
     counts = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
-    seen = taught.agg(*counts).first()
-    n = [float(x) for x in seen]
-    every = taught.select("domain", F.concat("words", "starts", "shape").alias("held"))
-    # An outer explode adds no filter on the array, which would be computed over all documents, below the join.
-    by_token = every.select(F.explode_outer("held").alias("token"), "domain").groupBy("token").agg(F.count("*").alias("n"), *counts)
+    n = [float(x) for x in taught.agg(*counts).first()]
+    token = taught.select("row", "domain", F.explode_outer("held").alias("token"))
+    start = token.select("row", "domain", _begins(F.col("token")).alias("token")).where("token IS NOT NULL")
+    by_token = token.unionByName(start.distinct()).groupBy("token").agg(F.count("*").alias("n"), *counts)
     told = by_token.where(F.col("n") >= LEAST_DOCS)
     parts = [max(x, 0.5) / max(sum(n), 1.0) for x in n]
     off = [F.abs(F.col(f"n{i}") - F.col("n") * p) / F.sqrt(F.col("n") * p * max(1 - p, 1e-9)) for i, p in enumerate(parts)]
     telling = F.greatest(*off, F.lit(0.0))
     best = told.where(telling >= LEAST_TELLING).orderBy(telling.desc(), "token").limit(VOCABULARY).select("token")
-    vocabulary = tuple(r["token"] for r in best.collect())  # VOCABULARY rows at most
+    vocabulary = [r["token"] for r in best.collect()]  # VOCABULARY rows at most
     place = {t: i for i, t in enumerate(vocabulary)}
-    rows = taught.select("domain", _held(vocabulary).alias("held")).collect()  # about max_labelled rows at most, each with tokens of the vocabulary
+    listed = docs.sparkSession.createDataFrame([(t, i) for t, i in place.items()], "token string, place int")
+    held = token.unionByName(start).join(F.broadcast(listed), "token").groupBy("row").agg(F.collect_list("place").alias("held"))
+    rows = taught.select("row", "domain").join(held, "row", "left").select("domain", "held").collect()  # about max_labelled rows at most, each with tokens of the vocabulary
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     for i, r in enumerate(rows):
-        x[i, [place[t] for t in r["held"]]] = 1
-    y = np.array([[r["domain"] == d for d in domains] for r in rows], float).reshape(len(rows), len(domains))
+        np.add.at(x[i], r["held"] or [], 1)
+    y = np.array([[r["domain"] == d for d in domains] for r in rows], np.float32).reshape(len(rows), len(domains))
     w, bias = _fit_logistic(x, y) if rows else (np.zeros((len(vocabulary), len(domains))), np.zeros(len(domains)))
     shape = ", ".join(["token string", *(f"w{i} double" for i in range(len(domains)))])
     weights = docs.sparkSession.createDataFrame([(t, *map(float, w[i])) for t, i in place.items()], shape)
-    model = Classifier(domains, tuple(map(float, bias)), weights, vocabulary)
+    model = Classifier(domains, tuple(map(float, bias)), weights)
     # Unseen labels choose how far the evidence is believed.
-    judged = _evidence(labelled_docs.where("unseen"), model, "doc_id", "domain")
+    judged = _evidence(featured.where("unseen").drop("row"), model, "doc_id", "domain")
     loss = []
     for t in TEMPERATURES:
         p = _softmax(len(domains), t)
@@ -199,7 +200,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000) -> C
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, tokens, posterior): one row for each id."""
     p = _softmax(len(model.domains), model.temperature)
-    return _evidence(docs, model, "doc_id").select("doc_id", "tokens", F.array(*p).alias("posterior"))
+    return _evidence(_features(docs, "doc_id"), model, "doc_id").select("doc_id", "tokens", F.array(*p).alias("posterior"))
 
 
 @dataclass(frozen=True)
@@ -302,11 +303,11 @@ def mix(
     tokens as a multiple of the input's; if None, each weight is a multiple of its
     own domain's expected tokens.
     """
-    model = train(docs, labelled, max_labelled)
+    scratch = Scratch(spark, "mixing")
+    model = train(scratch, docs, labelled, max_labelled)
     shape = "doc_id long, tokens long, posterior map<string,double>, rate double, copies long, residual map<string,double>, met boolean, converged boolean"
     if not model.domains:
         return spark.createDataFrame([], shape)
-    scratch = Scratch(spark, "mixing")
     judged = scratch.keep(posteriors(docs, model), "judged")
     own = judged.agg(
         *[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(d) for i, d in enumerate(model.domains)]
