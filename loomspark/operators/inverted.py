@@ -20,7 +20,6 @@ it by the state of its source, so a source that has changed gets a new one.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.stemming import fold_accents, stem, stem_terms
 from loomspark.operators.pages import screen_tokens
 from loomspark.operators.retrieval import B, K1, LEAST_IDF, tokens
-from loomspark.store import Files, shared_dir
+from loomspark.store import Files, complete, derived
 
 #: Counts up when what is written changes.
 VERSION = 1
@@ -108,9 +107,10 @@ def _count_terms(stems: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return counted
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], analyzer: Analyzer) -> DataFrame:
+def postings(docs: DataFrame, id_col: Column | str, fields: dict[str, Column], analyzer: Analyzer) -> DataFrame:
     """(field, term, id, tf, dl) of all rows; null texts have no terms."""
-    split = [docs.select(F.lit(name).alias("field"), F.col(id_col).cast("long").alias("id"), analyzer.tokens(F.coalesce(text, F.lit(""))).alias("w")) for name, text in fields.items()]
+    key = F.col(id_col) if isinstance(id_col, str) else id_col
+    split = [docs.select(F.lit(name).alias("field"), key.cast("long").alias("id"), analyzer.tokens(F.coalesce(text, F.lit(""))).alias("w")) for name, text in fields.items()]
     rows = reduce(DataFrame.unionByName, split).where(F.size("w") > 0)
     return rows.mapInArrow(_count_terms(analyzer.stems), "field string, term string, id long, tf long, dl long")
 
@@ -147,10 +147,16 @@ class Index:
         return self._rows("terms", terms, prefixes, fields)
 
 
-def build(docs: DataFrame, id_col: str, fields: dict[str, Column], analyzer: Analyzer, path: str, folders: int = 64, slices: int = 1) -> Index:
+def build(docs: DataFrame, id_col: Column | str, fields: dict[str, Column], analyzer: Analyzer, path: str, folders: int = 64, slices: int = 1) -> Index:
     """Writes an index to ``path``, complete or not at all."""
     spark = docs.sparkSession
-    aside, files = f"{path}.{uuid.uuid4().hex}", Files(spark)
+    with complete(spark, path) as aside:
+        _write(docs, id_col, fields, analyzer, aside, folders, slices)
+    return Index(spark, path, analyzer, folders)
+
+
+def _write(docs: DataFrame, id_col: Column | str, fields: dict[str, Column], analyzer: Analyzer, aside: str, folders: int, slices: int) -> None:
+    spark = docs.sparkSession
     rows = postings(docs, id_col, fields, analyzer).withColumn("folder", _folder(F.col("term"), folders))
     dealt = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).repartition(folders * slices, "folder", "slice")
     dealt.drop("slice").sortWithinPartitions("folder", "term", "field", "id").write.partitionBy("folder").parquet(f"{aside}/postings")
@@ -160,19 +166,14 @@ def build(docs: DataFrame, id_col: str, fields: dict[str, Column], analyzer: Ana
     total = spark.read.parquet(f"{aside}/terms").groupBy("field").agg(F.sum("cf").alias("total"))
     names = docs.agg(F.count("*").alias("n")).select(F.explode(F.array(*map(F.lit, fields))).alias("field"), "n")
     names.join(total, "field", "left").select("field", "n", F.coalesce("total", F.lit(0)).alias("total")).coalesce(1).write.parquet(f"{aside}/stats")
-    if files.exists(path) or not files.rename(aside, path):  # another session was sooner: its index is as good
-        files.delete(aside)
-    return Index(spark, path, analyzer, folders)
 
 
-def open_or_build(spark: SparkSession, source: str, id_col: str, fields: dict[str, Column], analyzer: Analyzer, folders: int = 64) -> Index:
+def open_or_build(spark: SparkSession, source: str, id_col: Column | str, fields: dict[str, Column], analyzer: Analyzer, folders: int = 64) -> Index:
     """The index of a stored table as it is now; built when there is none for this state of its files."""
-    files = Files(spark)
-    name = "-".join([analyzer.name, f"v{VERSION}", str(folders), *sorted(fields)])
-    path = f"{shared_dir(spark)}/index/{files.state(source)}/{name}"
-    if files.exists(f"{path}/stats/_SUCCESS"):
+    path = derived(spark, source, "-".join([analyzer.name, f"v{VERSION}", str(folders), *sorted(fields)]))
+    if Files(spark).exists(path):
         return Index(spark, path, analyzer, folders)
-    slices = 1 + files.size(source) // SLICE_BYTES
+    slices = 1 + Files(spark).size(source) // SLICE_BYTES
     return build(spark.read.parquet(source), id_col, fields, analyzer, path, folders, slices)
 
 

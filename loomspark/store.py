@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -58,3 +61,21 @@ class Files:
     def size(self, path: str) -> int:
         p, fs = self._at(path)
         return int(fs.getContentSummary(p).getLength())
+
+
+def derived(spark: SparkSession, source: str, name: str) -> str:
+    """Where something made from a stored table lies, as that table is now: a changed table leads to another place."""
+    return f"{shared_dir(spark)}/derived/{Files(spark).state(source)}/{name}"
+
+
+@contextmanager
+def complete(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder to write to that becomes ``path`` when all of it is written, and not before."""
+    files, aside = Files(spark), f"{path}.{uuid.uuid4().hex}"
+    try:
+        yield aside
+    except BaseException:
+        files.delete(aside)
+        raise
+    if files.exists(path) or not files.rename(aside, path):  # another session was sooner: what it wrote is as good
+        files.delete(aside)
