@@ -1,7 +1,7 @@
 """Operators whose next row depends on what was decided for the last one.
 
-Each runs per key over rows in order, as a fold inside a task. A key's rows
-(one video, one client) are few; keys are what Spark spreads.
+Each runs over rows in order, as a fold inside a task: per stretch of a video where
+one can say where a decision ends, else per key.
 """
 
 from __future__ import annotations
@@ -14,19 +14,24 @@ from pyspark.sql import functions as F
 
 #: Seconds of a chunk and from one chunk's start to the next one's.
 CHUNK_S, STRIDE_S = 45.0, 30.0
+#: Seconds of the shortest and the longest cue, and between a text and its echo.
+LEAST_S, LONGEST_S, ECHO_S = 0.01, 30.0, 0.05
 #: Fixed value: bits of a 64-bit hash that may differ between near-duplicates, as 24 of 256 do.
 NEAR_BITS = 6
 
 
-def chunk_bounds(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
-    """Windows of whole cues as (first, last): at most ``CHUNK_S`` long, one cue at least, no cue left out."""
+def chunk_bounds(start: np.ndarray, end: np.ndarray, more: bool = False) -> list[tuple[int, int]]:
+    """Windows of whole cues as (first, last): at most ``CHUNK_S`` long, one cue at least, no cue left out.
+
+    A window that reaches the last cue is the last one, unless ``more`` cues follow, which it can't reach.
+    """
     out, i, n = [], 0, len(start)
     while i < n:
         j = i
         while j + 1 < n and end[j + 1] - start[i] <= CHUNK_S:
             j += 1
         out.append((i, j))
-        if j == n - 1:
+        if j == n - 1 and not more:
             break
         stride = int(np.searchsorted(start, start[i] + STRIDE_S))
         i = max(min(stride, j + 1), i + 1)
@@ -34,17 +39,31 @@ def chunk_bounds(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def chunk_windows(cues: DataFrame) -> DataFrame:
-    """(video_id, chunk, first_cue, last_cue, start_s, end_s)."""
+    """(video_id, chunk, first_cue, last_cue, start_s, end_s): a chunk ends where its last cue does; one without text is left out.
+
+    No window holds two cues of which the later ends more than ``CHUNK_S`` after the
+    earlier begins. Where neighbours are so far apart a video is cut, and its
+    stretches are worked on one by one: a video's length bounds a group no more, a
+    stretch of speech does.
+    """
+    order = W.partitionBy("video_id").orderBy("start_s", "cue_id")
+    rows = cues.select("video_id", "cue_id", "start_s", "end_s", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("says"))
+    apart = F.coalesce(F.col("end_s") - F.lag("start_s").over(order) > CHUNK_S, F.lit(False))
+    last = F.lead("cue_id").over(order).isNull()
+    marked = rows.withColumns({"__cut": apart.cast("int"), "__last": last})
+    stretches = marked.withColumn("__part", F.sum("__cut").over(order.rowsBetween(W.unboundedPreceding, 0)))
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.sort_values(["start_s", "cue_id"])
-        s, e, c = (r[k].to_numpy() for k in ("start_s", "end_s", "cue_id"))
-        video = r["video_id"].iloc[0]
-        made = [(video, k, c[i], c[j], s[i], e[i : j + 1].max()) for k, (i, j) in enumerate(chunk_bounds(s, e))]
-        return pd.DataFrame(made, columns=["video_id", "chunk", "first_cue", "last_cue", "start_s", "end_s"])
+        s, e, c, says = (r[k].to_numpy() for k in ("start_s", "end_s", "cue_id", "says"))
+        bounds = chunk_bounds(s, e, more=not r["__last"].any())
+        made = [(r["video_id"].iloc[0], c[i], c[j], s[i], e[j]) for i, j in bounds if says[i : j + 1].any()]
+        return pd.DataFrame(made, columns=["video_id", "first_cue", "last_cue", "start_s", "end_s"])
 
-    shape = "video_id long, chunk long, first_cue long, last_cue long, start_s double, end_s double"
-    return cues.select("video_id", "cue_id", "start_s", "end_s").groupBy("video_id").applyInPandas(cut, shape)
+    shape = "video_id long, first_cue long, last_cue long, start_s double, end_s double"
+    made = stretches.groupBy("video_id", "__part").applyInPandas(cut, shape)
+    number = F.row_number().over(W.partitionBy("video_id").orderBy("start_s", "first_cue")) - 1
+    return made.select("video_id", number.cast("long").alias("chunk"), "first_cue", "last_cue", "start_s", "end_s")
 
 
 def interpolate(rows: DataFrame, key: str, order: str, value: str, floor: float, step: float) -> DataFrame:
@@ -66,14 +85,33 @@ def interpolate(rows: DataFrame, key: str, order: str, value: str, floor: float,
     return near.withColumn("__f", filled).withColumn(value, F.max("__f").over(run)).drop("__lo", "__hi", "__f")
 
 
-def tidy(cues: DataFrame, shortest: float = 0.01, longest: float = 30.0, echo: float = 0.05) -> DataFrame:
-    """Bounds lengths, drops an echo of the cue before it, and ends a cue where the next begins."""
-    w = W.partitionBy("video_id").orderBy("start_s", "cue_id")
-    end = F.least(F.greatest(F.col("end_s"), F.col("start_s") + shortest), F.col("start_s") + longest)
-    again = (F.lag("text").over(w) == F.col("text")) & (F.col("start_s") - F.lag("end_s").over(w) <= echo)
-    kept = cues.withColumn("end_s", end).withColumn("__echo", F.coalesce(again, F.lit(False))).where(~F.col("__echo")).drop("__echo")
-    following = F.lead("start_s").over(w)
-    return kept.withColumn("end_s", F.when(following > F.col("start_s"), F.least("end_s", following)).otherwise(F.col("end_s")))
+def tidy(cues: DataFrame) -> DataFrame:
+    """Cues in time order without blank ones and echoes, of sensible length, none reaching into the next.
+
+    An echo says what the cue kept before it says and begins less than ``ECHO_S`` after
+    that one. Only cues that follow one another so closely depend on each other;
+    such a chain is folded, all else is windows.
+    """
+    w = W.partitionBy("video_id").orderBy("start_s", "end_s", "cue_id")
+    said = cues.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    near = (F.lag("text").over(w) == F.col("text")) & (F.col("start_s") - F.lag("start_s").over(w) < ECHO_S)
+    chained = said.withColumn("__new", F.coalesce(near, F.lit(False)).cast("int")).withColumn(
+        "__chain", F.sum(1 - F.col("__new")).over(w.rowsBetween(W.unboundedPreceding, 0))
+    )
+    # Of equal starts the first can stay at most: a chain's array holds each start once.
+    starts = chained.groupBy("video_id", "__chain").agg(F.sort_array(F.collect_set("start_s")).alias("s"))
+    none = F.array().cast("array<double>")
+    apart = lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) >= ECHO_S), F.concat(kept, F.array(x))).otherwise(kept)
+    longer = starts.where(F.size("s") > 1).select("video_id", "__chain", F.aggregate("s", none, apart).alias("__kept"))
+    first = F.row_number().over(W.partitionBy("video_id", "__chain", "start_s").orderBy("end_s", "cue_id"))
+    marked = chained.withColumn("__first", first).where("__first = 1").join(longer, ["video_id", "__chain"], "left")
+    kept = marked.where(F.col("__kept").isNull() | F.array_contains("__kept", F.col("start_s")))
+    bounded = F.least(F.greatest(F.col("end_s"), F.col("start_s") + LEAST_S), F.col("start_s") + LONGEST_S)
+    kept = kept.withColumn("end_s", bounded).drop("__new", "__chain", "__first", "__kept")
+    following = F.lead("start_s").over(W.partitionBy("video_id").orderBy("start_s", "__end", "cue_id"))
+    trimmed = F.when(F.col("end_s") > F.col("__next"), F.greatest(F.col("__next"), F.col("start_s") + LEAST_S)).otherwise(F.col("end_s"))
+    ordered = kept.withColumn("__end", F.col("end_s")).withColumn("__next", following)
+    return ordered.withColumn("end_s", trimmed).drop("__end", "__next")
 
 
 def greedy_neardup(frames: DataFrame, bits: int = NEAR_BITS) -> DataFrame:

@@ -59,12 +59,55 @@ def test_bucket_and_near_duplicates(spark):
     assert [(r[0], r[1]) for r in S.greedy_neardup(frames, 1).orderBy("frame_id").collect()] == [(0, None), (1, 0), (2, None), (3, 2)]
 
 
-def test_interpolation_and_tidy(spark):
+def test_interpolation(spark):
     rows = spark.createDataFrame([(1, k, v) for k, v in enumerate([None, 2.0, None, None, 8.0, None])], "k long, o long, v double")
     got = [round(r["v"], 6) for r in S.interpolate(rows, "k", "o", "v", 0.0, 1.0).orderBy("o").collect()]
     assert got == [0.0, 2.0, 4.0, 6.0, 8.0, 9.0]
-    cues = spark.createDataFrame([(1, 1, 0.0, 4.0, "a"), (1, 2, 4.0, 6.0, "a"), (1, 3, 5.0, 99.0, "b")], "video_id long, cue_id long, start_s double, end_s double, text string")
-    assert [(r["cue_id"], r["end_s"]) for r in S.tidy(cues).orderBy("cue_id").collect()] == [(1, 4.0), (3, 35.0)]
+
+
+CUE = "video_id long, cue_id long, start_s double, end_s double, text string"
+
+
+def tidy_by_hand(rows):
+    out = []
+    for v, i, s, e, t in sorted((r for r in rows if (r[4] or "").strip()), key=lambda r: (r[0], r[2], r[3], r[1])):
+        e = min(max(e, s + 0.01), s + 30)
+        if out and out[-1][0] == v:
+            if out[-1][4] == t and abs(out[-1][2] - s) < 0.05:
+                continue
+            if out[-1][3] > s:
+                out[-1][3] = max(s, out[-1][2] + 0.01)
+        out.append([v, i, s, e, t])
+    return sorted((v, i, s, round(e, 9)) for v, i, s, e, _ in out)
+
+
+def test_tidy(spark):
+    got = lambda rows: sorted((r[0], r[1], r[2], round(r[3], 9)) for r in S.tidy(spark.createDataFrame(rows, CUE)).select("video_id", "cue_id", "start_s", "end_s").collect())
+    yes = [(1, k, float(k), k + 1.0, "yes") for k in range(3)]
+    assert got(yes) == [(1, k, float(k), k + 1.0) for k in range(3)]  # said again, not an echo
+    chain = [(1, k, 0.03 * k, 9.0, "a") for k in range(9)] + [(1, 20, 0.0, 2.0, "a"), (1, 30, 0.3, 99.0, "b"), (1, 31, 0.3, 99.0, "c"), (2, 1, 5.0, 1.0, "x"), (2, 2, 5.0, 6.0, " "), (2, 3, 6.0, 7.0, None)]
+    assert got(chain) == tidy_by_hand(chain)
+    rng = random.Random(4)
+    for _ in range(3):
+        rows = [(rng.randrange(3), k, rng.randrange(60) * 0.02, rng.randrange(60) * 0.05, rng.choice(["a", "a", "b", ""])) for k in range(120)]
+        assert got(rows) == tidy_by_hand(rows)
+
+
+def test_chunks_of_stretches_are_those_of_the_whole_video(spark):
+    rng = random.Random(8)
+    rows = []
+    for v in range(4):
+        t = 0.0
+        for k in range(150):
+            t += rng.choice([0.5, 3.0, 3.0, 9.0, 44.0, 45.0, 60.0, 200.0])
+            rows.append((v, v * 1000 + k, t, t + rng.choice([0.5, 4.0, 30.0, 50.0]), rng.choice(["x", "x", ""])))
+    want = []
+    for v in range(4):
+        own = sorted((r for r in rows if r[0] == v), key=lambda r: r[2])
+        s, e = np.array([r[2] for r in own]), np.array([r[3] for r in own])
+        made = [(i, j) for i, j in S.chunk_bounds(s, e) if any(r[4] for r in own[i : j + 1])]
+        want += [(v, n, own[i][1], own[j][1], s[i], e[j]) for n, (i, j) in enumerate(made)]
+    assert sorted(tuple(r) for r in S.chunk_windows(spark.createDataFrame(rows, CUE)).collect()) == sorted(want)
 
 
 def test_no_island_leaves_its_cell(spark):
