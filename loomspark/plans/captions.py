@@ -60,7 +60,7 @@ def json3_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues.select("conv_id", "start_s", "end_s", "text", F.size("words").alias("n_words"), F.element_at("words", -1)["start_s"].alias("last_word_s"))
 
 
-def _infos(spark: SparkSession, sf_dir: str) -> DataFrame:
+def infos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, info): metadata as a site would give it, written as JSON and parsed again."""
     k = F.col("doc_id") % 4
     stamp = F.lit(1_700_000_000) + F.col("doc_id") * 60
@@ -88,7 +88,7 @@ def _infos(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, CAST(CASE WHEN doc_id % 4 IN (0, 1) THEN 1700000000 + doc_id * 60 WHEN doc_id % 4 = 2 THEN epoch(DATE '2024-02-29') END AS BIGINT) AS at FROM documents",
 )
 def published_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _infos(spark, sf_dir).select("doc_id", K.published_at(F.col("info")).alias("at"))
+    return infos(spark, sf_dir).select("doc_id", K.published_at(F.col("info")).alias("at"))
 
 
 @core.query(
@@ -98,7 +98,7 @@ UNION ALL SELECT doc_id, 1, 20, 20, 'chapter 2' FROM documents
 UNION ALL SELECT doc_id, 2, 30, greatest(30, coalesce(nullif(n_chars, 0), 30)), 'end' FROM documents""",
 )
 def chapters_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.chapters(_infos(spark, sf_dir), "doc_id", "info")
+    return K.chapters(infos(spark, sf_dir), "doc_id", "info")
 
 
 @core.query(
@@ -107,4 +107,4 @@ def chapters_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN doc_id % 4 = 1 THEN 'srv3' ELSE 'vtt' END AS ext, doc_id % 4 = 1 AS automatic FROM documents WHERE doc_id % 4 <> 3""",
 )
 def subtitle_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.best_subtitle(_infos(spark, sf_dir), "doc_id", "info", ["en", "de"])
+    return K.best_subtitle(infos(spark, sf_dir), "doc_id", "info", ["en", "de"])

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from loomspark.registry import Registry, core
 
-MODULES = ("retrieval", "timeline", "relational", "scalars", "ingestion", "captions", "surfaces", "search")
+MODULES = ("retrieval", "timeline", "relational", "scalars", "ingestion", "captions", "surfaces", "search", "alignment", "documents")
 
 
 def load() -> Registry:
