@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -117,6 +118,33 @@ def test_license_rules_against_plain_matching(spark):
     assert len(licenses.RULES) > 300
 
 
+def test_sentences_of_licenses(spark):
+    told = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+        "apache-2": "Licensed under the Apache License, Version 2.0 (the \"License\");\n you may not use this file except in compliance with the License.",
+        "bsd-3-clause": "Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software",
+        "gpl-3-or-later": "either version 3 of the License, or (at your option) any later version.",
+        "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file",
+        "unlicense": "This is free and unencumbered software released into the\npublic domain.",
+        "cc-by-nc-sa": "https://creativecommons.org/licenses/by-nc-sa/4.0/",
+        "zlib": "This software is provided 'as-is', without any express or implied\nwarranty.",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that",
+    }
+    df = spark.createDataFrame(list(told.items()), "label string, text string")
+    got = {r["label"]: [s["label"] for s in r["licenses"]] for r in licenses.scan(df).collect()}
+    assert all(label in found for label, found in got.items()), got
+    assert all(re.search(re.escape(r.keyword), r.pattern.replace(r"\.", ".")) for r in licenses.RULES if r.keyword in ("software", "dedicated", "prohibited", "proprietary", "distribut"))
+
+
+def test_many_detections_in_one_text(spark):
+    n = 100_000
+    rows = [(1, "mit license; " * n, 7), (2, "x " * n, 8)]
+    out = licenses.scan(spark.createDataFrame(rows, "id long, text string, __body int"))
+    began = time.monotonic()
+    got = {r["id"]: (r["k"], r["last"], r["__body"]) for r in out.selectExpr("id", "size(licenses) k", "try_element_at(licenses, -1).stop last", "__body").where("id > 0").collect()}
+    assert got == {1: (n, 13 * n - 2, 7), 2: (0, None, 8)} and time.monotonic() - began < 120
+
+
 def test_license_gates_lose_no_match(spark):
     names = ["expat", "do what the fuck you want to public license", "bsl-1.0", "creative commons zero", "gnu general public license 2", "lesser general public license 3", "mozilla public license 2", "cc-by", "creative commons attribution-sharealike", "python software foundation"]
     forms = ["licensed under the {}", "SPDX-License-Identifier: {}", "Released\n under  the {}", "distributed  under {}", "available\tunder the {}", "under\n the terms  of the {} license", "License: {}", "{} licensed", "licence ( {} )"]
