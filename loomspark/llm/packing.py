@@ -10,9 +10,14 @@
    pieces per class, is packed best fit, longest first.
 5. Pieces are ranked inside their class in Spark and take the places that the
    patterns have for their class, by rank.
+6. Pieces of at most ``SAND`` tokens, for which rounding would cost most, are left out
+   of the program and poured into the room that it leaves, and then into sequences of
+   their own. Laid end to end, they are dealt to rooms by where each begins; a room counts
+   for its size less the longest such piece but one token, so the last piece
+   always fits, and a room is left with fewer than ``SAND`` free tokens.
 
-Only the histogram and the table of patterns pass through the driver; both are
-bounded by the number of classes. A class is ranked in salted parts, so a length
+Only histograms (of classes, of short lengths, of rooms) and the table of patterns pass through the driver; all are
+bounded by the number of classes or the sequence length. A class is ranked in salted parts, so a length
 that a third of all pieces share is many tasks' work.
 
 Defined results
@@ -29,9 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspark.llm.store import Scratch
 from loomspark.llm.tokens import WordTokenizer
@@ -39,6 +46,8 @@ from loomspark.llm.tokens import WordTokenizer
 LENGTH = 4096
 #: Lengths are rounded up to a multiple of this for planning only.
 QUANTUM = 8
+#: Pieces up to this length are poured.
+SAND = 64
 #: Texts that are tokenized together, in characters.
 BLOCK = 1_000_000
 #: Column generation ends when the bound proves it this near the optimum.
@@ -173,38 +182,102 @@ def plan(demand: np.ndarray, capacity: int) -> Plan:
     return Plan(slots, sequences, bound)
 
 
-def pack(spark: SparkSession, pieces: DataFrame, length: int = LENGTH, quantum: int = QUANTUM) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to written pieces; a sequence has no gaps."""
+def _salted(rows: DataFrame, of: str, salts: int, order: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """``rows`` with ``__rank`` among those of equal ``of`` (a small whole number), and how many there are of each.
+
+    ``__salt`` deals equal ones to many tasks; ranks go on from one salt to the next.
+    """
+    parts = rows.groupBy(of, "__salt").agg(F.count("*").alias("__n"))
+    totals = {r[0]: r[1] for r in parts.groupBy(of).agg(F.sum("__n")).collect()}  # one row for each class
+    counts = np.zeros(max(totals, default=0) + 1, np.int64)
+    for k, n in totals.items():
+        counts[k] = n
+    before = W.partitionBy(of).orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select(of, "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = W.partitionBy(of, "__salt").orderBy(*order)
+    ranked = rows.withColumn("__row", F.row_number().over(within) - 1).join(starts, [of, "__salt"])
+    return ranked.withColumn("__rank", F.col("__before") + F.col("__row")).drop("__row", "__before"), counts
+
+
+_PLACES = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+
+
+def _planned(spark: SparkSession, pieces: DataFrame, salts: int, length: int, quantum: int) -> tuple[DataFrame, int]:
+    """Pieces placed by the program's patterns, and the number of sequences."""
     capacity = length // quantum
-    salts = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    classed = pieces.withColumn("__class", F.ceil(F.col("length") / quantum).cast("int")).withColumn(
-        "__salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")
-    )
-    parts = classed.groupBy("__class", "__salt").agg(F.count("*").alias("__n"))
+    ranked, counts = _salted(pieces.withColumn("__class", F.ceil(F.col("length") / quantum).cast("int")), "__class", salts, _PLACES)
     demand = np.zeros(capacity + 1, np.int64)
-    for r in parts.groupBy("__class").agg(F.sum("__n").alias("n")).collect():  # at most `capacity` rows
-        demand[r["__class"]] = r["n"]
+    demand[: len(counts)] = counts
     made = plan(demand, capacity)
-    slots = spark.createDataFrame(
-        made.slots, "__class int, __from long, __to long, __sequence long, __slot int"
-    )
-    before = W.partitionBy("__class").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
-    starts = parts.select("__class", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = W.partitionBy("__class", "__salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = (
-        classed.withColumn("__row", F.row_number().over(within) - 1)
-        .join(starts, ["__class", "__salt"])
-        .withColumn("__rank", F.col("__before") + F.col("__row"))
-    )
+    slots = spark.createDataFrame(made.slots, "__of int, __from long, __to long, __sequence long, __slot int")
     # The table of patterns has a few rows per class, whatever the number of pieces.
     placed = ranked.join(
-        F.broadcast(slots.withColumnRenamed("__class", "__of")),
+        F.broadcast(slots),
         (F.col("__class") == F.col("__of")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")),
     ).withColumn("sequence_id", F.col("__sequence") + F.col("__rank") - F.col("__from"))
     left = W.partitionBy("sequence_id").orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
-    return placed.select(
-        *pieces.columns, "sequence_id", F.coalesce(F.sum("length").over(left), F.lit(0)).cast("long").alias("offset")
-    )
+    offset = F.coalesce(F.sum("length").over(left), F.lit(0)).cast("long").alias("offset")
+    return placed.select(*pieces.columns, "sequence_id", offset), made.sequences
+
+
+@dataclass(frozen=True)
+class Line:
+    """Rooms laid end to end, equal ones together: where those of each size begin, their size, and how many there are."""
+
+    base: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray, total: int, own: int) -> Line:
+        """``counts`` of rooms by size, the largest first; sequences of the size ``own``, as many as it takes, come last."""
+        size = np.flatnonzero(counts)[::-1].astype(np.int64)
+        ends = np.cumsum(size * counts[size]) if len(size) else np.zeros(0, np.int64)
+        base = np.r_[0, ends].astype(np.int64)
+        return cls(base, np.r_[size, own].astype(np.int64))
+
+    def at(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(size of the room, its rank among those of that size, whether it is a new sequence)."""
+        k = np.searchsorted(self.base, x, side="right") - 1
+        return self.size[k], (x - self.base[k]) // self.size[k], k == len(self.size) - 1
+
+
+def _poured(sand: DataFrame, planned: DataFrame, sequences: int, salts: int, length: int) -> DataFrame:
+    """Short pieces in the rooms that the planned ones leave, then in sequences of their own."""
+    spare = SAND - 1
+    rooms = planned.groupBy("sequence_id").agg((F.lit(length) - F.sum("length")).alias("__free")).where(F.col("__free") > spare)
+    rooms = rooms.withColumn("__size", (F.col("__free") - spare).cast("int")).withColumn("__salt", F.pmod(F.xxhash64("sequence_id"), F.lit(salts)).cast("int"))
+    rooms, by_size = _salted(rooms, "__size", salts, ["sequence_id"])
+    ranked, by_length = _salted(sand.withColumn("__length", F.col("length").cast("int")), "__length", salts, _PLACES)
+    lengths = np.arange(len(by_length))
+    begins = np.r_[0, np.cumsum(lengths * by_length)][:-1]  # equal lengths lie together
+    line = Line.of(by_size, int((lengths * by_length).sum()), length - spare)
+    begin = F.element_at(F.array(*[F.lit(int(x)) for x in begins]), F.col("__length") + 1) + F.col("__rank") * F.col("__length")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, rank, new = line.at(b.column("__x").to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size.astype(np.int32)), pa.array(rank), pa.array(new)], names=[*b.schema.names, "__size", "__rank", "__new"])
+
+    columns = sand.drop("__salt").columns
+    laid = ranked.select(*columns, begin.cast("long").alias("__x"))
+    more = [T.StructField("__size", T.IntegerType()), T.StructField("__rank", T.LongType()), T.StructField("__new", T.BooleanType())]
+    dealt_out = laid.mapInArrow(dealt, T.StructType([*laid.schema.fields, *more]))
+    own = dealt_out.where("__new").select(*columns, "__x", (F.lit(sequences) + F.col("__rank")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("__used"))
+    # A room takes at most its size in pieces, so no key of this join is hot.
+    found = dealt_out.where("NOT __new").join(rooms.select("__size", "__rank", "sequence_id", (F.lit(length) - F.col("__free")).alias("__used")), ["__size", "__rank"])
+    every = own.unionByName(found.select(*own.columns))
+    left = W.partitionBy("sequence_id").orderBy("__x").rowsBetween(W.unboundedPreceding, -1)
+    return every.select(*columns, "sequence_id", (F.col("__used") + F.coalesce(F.sum("length").over(left), F.lit(0))).cast("long").alias("offset"))
+
+
+def pack(spark: SparkSession, pieces: DataFrame, length: int = LENGTH, quantum: int = QUANTUM) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to written pieces; a sequence has no gaps."""
+    salts = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*_PLACES[:3]), F.lit(salts)).cast("int"))
+    placed, sequences = _planned(spark, salted.where(F.col("length") > SAND), salts, length, quantum)
+    placed = Scratch(spark, "packing").keep(placed.select(*pieces.columns, "sequence_id", "offset"), "planned")
+    poured = _poured(salted.where(F.col("length") <= SAND), placed, sequences, salts, length)
+    return placed.unionByName(poured.select(*placed.columns))
 
 
 def pack_documents(
