@@ -9,11 +9,12 @@
    than their farthest neighbour so far propose themselves. Only meetings with a
    new edge count.
 4. A query walks the graph from its own node and that one's neighbours: the
-   nearest ``BEAM`` nodes so far are expanded until none of them is new. What it
-   ends with is scored on the original vectors.
+   nearest ``BEAM`` nodes so far, and those as near as the last of them, are expanded
+   until none of them is new. What it ends with is scored on the original vectors.
 
-Rounds compare vectors as 8-bit numbers; scores are double precision cosines.
-Meetings are bounded by ``DEGREE + REVERSE``, walks by ``BEAM * DEGREE``.
+Rounds compare directions as 16-bit numbers by their squared distance, worked out in double
+precision and kept in single: unlike a cosine, it tells vectors apart that are all but equal.
+Scores are double precision cosines. Meetings are bounded by ``DEGREE + REVERSE``, walks by ``BEAM * DEGREE``.
 
 Defined results
 * vectors that are null, zero, hold a null or non-finite component, or differ in
@@ -61,19 +62,24 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _bytes(v: np.ndarray) -> np.ndarray:
-    """Directions as 8-bit numbers; the length is lost, as cosine doesn't need it."""
-    return np.rint(v / np.abs(v).max(1, keepdims=True) * 127).astype(np.int8)
+    """Directions as 16-bit numbers; the length is lost, as cosine doesn't need it."""
+    return np.rint(v / np.abs(v).max(1, keepdims=True) * 32767).astype("<i2")
 
 
 def _unit(b: np.ndarray) -> np.ndarray:
-    x = b.astype(np.float32)
+    x = b.astype(np.float64)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _near(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Squared distances of unit vectors, negative, so that more is nearer."""
+    return (2 * (u @ v.T) - 2).astype(np.float32)
+
+
 def _column(a: pa.Array, width: int) -> np.ndarray:
-    """A binary column of equal lengths as rows of 8-bit numbers."""
+    """A binary column of equal lengths as rows of 16-bit numbers."""
     ends = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
-    return np.frombuffer(a.buffers()[2], np.int8)[ends[0] : ends[-1]].reshape(-1, width)
+    return np.frombuffer(a.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])), "<i2").reshape(-1, width)
 
 
 def _lists(a: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
@@ -90,7 +96,7 @@ def nodes(rows: DataFrame, keep_ids: int) -> DataFrame:
 
 
 def compact(distinct: DataFrame, dim: int, bits: int, seed: int) -> DataFrame:
-    """(node, code, keys): 8-bit vectors, and a sort key for each order."""
+    """(node, code, keys): 16-bit vectors, and a sort key for each order."""
     rng = np.random.default_rng(seed)
     planes, lines = rng.normal(size=(ORDERS, dim, bits)), rng.normal(size=(ORDERS, dim))
 
@@ -128,11 +134,11 @@ def first_edges(points: DataFrame, order: int, parts: int, dim: int) -> DataFram
     """All nearest inside each block of one order."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, codes = np.zeros(0, np.int64), np.zeros((0, dim), np.int8)
+        ids, codes = np.zeros(0, np.int64), np.zeros((0, dim), np.int16)
 
         def linked(ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
             u = _unit(codes)
-            near = u @ u.T
+            near = _near(u, u)
             np.fill_diagonal(near, -9)
             k = min(DEGREE // 2, len(ids) - 1)
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -169,7 +175,7 @@ def descend(graph: DataFrame, points: DataFrame, dim: int, number: int) -> DataF
     )
     far = graph.groupBy("a").agg(F.min("near").alias("far"), F.count("*").alias("n"))
     known = points.select("node", "code").join(
-        far.select(F.col("a").alias("node"), F.when(F.col("n") < DEGREE, F.lit(-2.0)).otherwise(F.col("far")).cast("float").alias("far")), "node"
+        far.select(F.col("a").alias("node"), F.when(F.col("n") < DEGREE, F.lit(-5.0)).otherwise(F.col("far")).cast("float").alias("far")), "node"
     )
     met = (
         meet.join(known, "node")
@@ -190,7 +196,7 @@ def descend(graph: DataFrame, points: DataFrame, dim: int, number: int) -> DataF
                 at += s
                 if len(ids) < 2:
                     continue
-                near = unit[at] @ unit[at].T
+                near = _near(unit[at], unit[at])
                 fresh = new[at]
                 near[~(fresh[:, None] | fresh[None, :])] = -9
                 np.fill_diagonal(near, -9)
@@ -231,14 +237,16 @@ def walk(scratch: Scratch, graph: DataFrame, points: DataFrame, starts: DataFram
         for batch in batches:
             unit = _unit(_column(batch.column("code"), dim))
             ends, m = _lists(batch.column("met"))
-            node, met = m.field("node").to_numpy(), _unit(_column(m.field("code"), dim)) if len(m) else np.zeros((0, dim), np.float32)
+            node, met = m.field("node").to_numpy(), _unit(_column(m.field("code"), dim)) if len(m) else np.zeros((0, dim))
             beams = []
             for i, old in enumerate(batch.column("beam").to_pylist()):
                 ids = node[ends[i] : ends[i + 1]]
-                near = met[ends[i] : ends[i + 1]] @ unit[i]
+                near = _near(met[ends[i] : ends[i + 1]], unit[i])
                 had = {x["node"]: x["near"] for x in old or []}  # all of them were expanded by now
                 every = had | {int(a): float(b) for a, b in zip(ids, near, strict=True) if int(a) not in had}
-                top = sorted(every.items(), key=lambda x: (-x[1], x[0]))[:BEAM]
+                top = sorted(every.items(), key=lambda x: (-x[1], x[0]))
+                edge = top[BEAM - 1][1] if len(top) > BEAM else -9.0
+                top = [x for x in top if x[1] >= edge]
                 beams.append([{"node": a, "near": b, "done": a in had} for a, b in top])
             yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("code"), pa.array(beams, shape)], names=["q", "code", "beam"])
 

@@ -267,3 +267,23 @@ def test_repeated_rows_leave_posteriors_unchanged(spark):
     weights = {"a": 0.5, "b": 0.5}
     a, b = ({r["doc_id"]: r["posterior"] for r in mixing.mix(spark, d, known, weights).collect()} for d in (once, thrice))
     assert a == b and len(a) == 61
+
+
+def test_neighbours_among_near_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    far = rng.normal(size=(500, 32))
+    base = rng.normal(size=32)
+    near = base + rng.normal(size=(2000, 32)) * 1e-3  # all but equal
+    v = np.concatenate([far, near]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got: dict[int, set] = {}
+    for r in neighbours.nearest_neighbours(spark, df, "id % 25 = 0").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    for group in (range(0, 500, 25), range(500, 2500, 25)):
+        hits = 0
+        for q in group:
+            score = u @ u[q]
+            score[q] = -9
+            hits += len(got[q] & set(np.argsort(-score)[:5].tolist()))
+        assert hits >= 0.9 * 5 * len(group), (hits, 5 * len(group))
