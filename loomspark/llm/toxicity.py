@@ -126,7 +126,7 @@ def contexts(text: str | None) -> dict[bytes, int]:
     words = _WORDS.findall((text or "").lower())
     out: dict[bytes, int] = {}
     known: set[str] = set()
-    for before, w, after in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
+    for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):  # none at all for a text without words
         if w not in known:
             known.add(w)
             at = zlib.crc32(f"{before} {after}".encode(errors="replace"))
