@@ -63,7 +63,7 @@ def mix_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without labels of two kinds there is nothing to weigh: each kind that is known, or else the whole table, stays whole.
     """
-    quality = read(spark, sf_dir, "labels").select(
+    quality = read(spark, sf_dir, "labels").where("doc_id IS NOT NULL").select(  # a label without an id is no document's
         "doc_id", F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain")
     )
     known = {r["domain"] for r in quality.where("domain IS NOT NULL").select("domain").distinct().collect()}  # two values at most
