@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.stemming import stem
@@ -18,18 +18,21 @@ from loomspark.registry import core
 from loomspark.sources.tables import read
 from loomspark.store import Files, complete, derived
 
-_CUE_ID = F.col("conv_id") * 1000 + F.col("turn")
-_TEXT = F.regexp_replace("html", "<[^>]*>", " ")
 #: Frames stand at a second of their own: number modulo this.
 _SECONDS = 60
 
 
+def _page_text() -> Column:
+    return F.regexp_replace("html", "<[^>]*>", " ")
+
+
 def cue_index(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.open_or_build(spark, f"{sf_dir}/conversations.parquet", _CUE_ID, {"text": F.col("text")}, I.PROSE)
+    cue_id = F.col("conv_id") * 1000 + F.col("turn")
+    return I.open_or_build(spark, f"{sf_dir}/conversations.parquet", cue_id, {"text": F.col("text")}, I.PROSE)
 
 
 def line_index(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.open_or_build(spark, f"{sf_dir}/pages.parquet", "page_id", {"text": _TEXT}, I.SCREEN)
+    return I.open_or_build(spark, f"{sf_dir}/pages.parquet", "page_id", {"text": _page_text()}, I.SCREEN)
 
 
 def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> S.Corpus:
     lines = read(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("frame_id"), F.col("page_id").alias("video_id"), (F.col("page_id") % _SECONDS).cast("double").alias("t_s"), F.coalesce(_TEXT, F.lit("")).alias("text")
+        F.col("page_id").alias("frame_id"), F.col("page_id").alias("video_id"), (F.col("page_id") % _SECONDS).cast("double").alias("t_s"), F.coalesce(_page_text(), F.lit("")).alias("text")
     )
     cues = C.cues(spark, sf_dir).select("video_id", "cue_id", "speaker", "start_s", "end_s", "text")
     return S.Corpus(videos(spark, sf_dir), cues, cue_index(spark, sf_dir), lines, line_index(spark, sf_dir), frame_store(spark, sf_dir))

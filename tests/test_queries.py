@@ -45,3 +45,11 @@ def test_entry_registers_every_query_once():
     import __spark_entry__ as entry
 
     assert set(CORE.functions()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(__file__)))
+    assert said.returncode == 0 and int(said.stdout) >= len(CORE.functions()), said.stderr
