@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import answers as A
@@ -12,8 +12,9 @@ from loomspark.operators import captions as K
 from loomspark.plans import corpus as C
 from loomspark.plans.captions import infos
 from loomspark.registry import core
+from loomspark.sources.recorded import probe, record
 from loomspark.sources.tables import read
-from loomspark.store import shared_dir
+from loomspark.store import derived, shared_dir
 from loomspark.streaming.lines import write_lines
 
 
@@ -120,3 +121,21 @@ def lateral_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = C.jobs(spark, sf_dir).select("job_id", "created", F.col("client").alias("of"))
     latest = jobs.where(F.col("of") == F.col("c.client").outer()).orderBy(F.desc("created"), "job_id").limit(2)
     return clients.lateralJoin(latest).select("client", "job_id", "created")
+
+
+def _page(i: Column) -> Column:
+    return F.concat(F.lit("https://example.org/watch?v="), i.cast("string"))
+
+
+@core.query(
+    "recorded_probe",
+    """SELECT 'https://example.org/watch?v=' || doc_id AS url, CASE WHEN doc_id % 3 <> 0 THEN n_chars END AS duration, CASE WHEN doc_id % 3 <> 0 THEN lang END AS language,
+ CASE WHEN doc_id % 3 = 0 THEN 'nothing recorded for https://example.org/watch?v=' || doc_id END AS error FROM documents""",
+)
+def recorded_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the documents' metadata are recorded and read back through the data source; all pages are asked for."""
+    docs = read(spark, sf_dir, "documents").select(_page(F.col("doc_id")).alias("url"), "doc_id", F.struct(F.col("n_chars").alias("duration"), F.col("lang").alias("language")).alias("info"))
+    path = derived(spark, f"{sf_dir}/documents.parquet", "recorded-v1")
+    record(docs.where("doc_id % 3 <> 0").select("url", "info"), path)
+    info = F.from_json("info", "duration long, language string")
+    return probe(spark, path, docs).select("url", info["duration"].alias("duration"), info["language"].alias("language"), "error")
