@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.llm.store import Scratch
-from loomspark.llm.tokens import WordTokenizer
+from loomspark.llm.tokens import word_tokenizer
 
 LENGTH = 4096
 #: Lengths are rounded up to a multiple of this for planning only.
@@ -62,7 +62,7 @@ def cut_documents(
     """(doc_id, text) -> pieces: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, their ids."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         for f in frames:
             size = f["text"].str.len().fillna(0).cumsum() // BLOCK
             for _, part in f.groupby(size, sort=False):
