@@ -14,7 +14,7 @@
    of the program and poured into the room that it leaves, and then into sequences of
    their own. Laid end to end, they are dealt to rooms by where each begins; a room counts
    for its size less the longest such piece but one token, so the last piece
-   always fits, and a room is left with fewer than ``SAND`` free tokens.
+   always fits, and a room is left with fewer free tokens than that piece has.
 
 Only histograms (of classes, of short lengths, of rooms) and the table of patterns pass through the driver; all are
 bounded by the number of classes or the sequence length. A class is ranked in salted parts, so a length
@@ -243,11 +243,11 @@ class Line:
 
 def _poured(sand: DataFrame, planned: DataFrame, sequences: int, salts: int, length: int) -> DataFrame:
     """Short pieces in the rooms that the planned ones leave, then in sequences of their own."""
-    spare = SAND - 1
+    ranked, by_length = _salted(sand.withColumn("__length", F.col("length").cast("int")), "__length", salts, _PLACES)
+    spare = max(len(by_length) - 2, 0)  # the longest of them less a token
     rooms = planned.groupBy("sequence_id").agg((F.lit(length) - F.sum("length")).alias("__free")).where(F.col("__free") > spare)
     rooms = rooms.withColumn("__size", (F.col("__free") - spare).cast("int")).withColumn("__salt", F.pmod(F.xxhash64("sequence_id"), F.lit(salts)).cast("int"))
     rooms, by_size = _salted(rooms, "__size", salts, ["sequence_id"])
-    ranked, by_length = _salted(sand.withColumn("__length", F.col("length").cast("int")), "__length", salts, _PLACES)
     lengths = np.arange(len(by_length))
     begins = np.r_[0, np.cumsum(lengths * by_length)][:-1]  # equal lengths lie together
     line = Line.of(by_size, int((lengths * by_length).sum()), length - spare)

@@ -66,20 +66,19 @@ def packed(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = pack_documents(spark, docs, PATH, 2).toPandas().sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id")["length"].cumsum() - got["length"] == got["offset"]).all()
-    assert got["length"].sum() == sum(len(ids(t)) + 1 for _, t in rows) and len(got) >= len(rows)
+    t = Tokenizer.from_file(PATH)
+    size = {x: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for x in {x for _, x in rows}}
+    assert got["length"].sum() == sum(size[x] for _, x in rows) and len(got) >= len(rows)
     full = got.groupby("sequence_id")["length"].sum()
     assert full.max() <= 4096 and sorted(full.index) == list(range(len(full)))
-    return full.sum() / (4096 * -(-int(full.sum()) // 4096)), full.sum() / (4096 * len(full))
+    return len(full), -(-int(full.sum()) // 4096)
 
 
 def test_short_documents_leave_little_padding(spark):
     tiny = [(i, [None, "", "hello", "a b c"][i % 4]) for i in range(16_000)]
-    best, got = packed(spark, tiny)
-    assert got > 0.98 * best
     words = [(i, "w " * (1 + i % 7)) for i in range(9_000)]
-    best, got = packed(spark, words)
-    assert got > 0.98 * best
     # Long ones leave room that short ones fill.
     mixed = [(i, "word " * (1500 + i % 700)) for i in range(60)] + [(1000 + i, "w " * (i % 60)) for i in range(3000)]
-    best, got = packed(spark, mixed)
-    assert got > 0.97 * best
+    for rows in (tiny, words, mixed):
+        got, least = packed(spark, rows)
+        assert got <= 1.02 * least + 1, (got, least)
