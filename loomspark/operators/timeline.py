@@ -58,3 +58,21 @@ def subdivide(spans: DataFrame, longest: float) -> DataFrame:
     return cut.withColumn("piece_start", F.col("start_s") + F.col("piece") * step).withColumn(
         "piece_end", F.when(last, F.col("end_s")).otherwise(F.col("start_s") + (F.col("piece") + 1) * step)
     )
+
+
+def context(cues: DataFrame, moments: DataFrame, before: float, after: float, budget: int) -> DataFrame:
+    """Cues of each asked video (video_id, t) that overlap the time round ``t``, in order, up to a budget of characters.
+
+    Adds ``used``, the characters so far, and ``bound``: what ended the list, the
+    ``window`` or the ``budget``. The first cue that goes beyond the budget ends it, as
+    do all after it; a budget of 0 is none. A window holds few cues of a video, whatever its length.
+    """
+    asked = moments.select(F.col("video_id").alias("__v"), "t")
+    near = (F.col("video_id") == F.col("__v")) & (F.col("end_s") >= F.col("t") - before) & (F.col("start_s") <= F.col("t") + after)
+    inside = cues.join(asked, near).drop("__v", "t")
+    w = W.partitionBy("video_id").orderBy("start_s", "cue_id")
+    used = F.sum(F.length("text")).over(w.rowsBetween(W.unboundedPreceding, 0))
+    counted = inside.withColumn("used", used).withColumn("__most", F.max("used").over(W.partitionBy("video_id")))
+    bound = F.when((F.lit(budget) > 0) & (F.col("__most") > budget), "budget").otherwise("window")
+    kept = counted.withColumn("bound", bound).drop("__most")
+    return kept.where(F.col("used") <= budget) if budget else kept

@@ -225,3 +225,21 @@ def budget_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date(F.col("ts")).alias("day")
     return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("client"), day).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("spent"))
+
+
+@core.query(
+    "segment_context",
+    f"""WITH {C.CUES}, m AS (SELECT DISTINCT video_id, CAST(20 AS DOUBLE) AS t FROM cues WHERE video_id % 3 <> 0),
+i AS (SELECT c.*, sum(length(text)) OVER (PARTITION BY video_id ORDER BY start_s, cue_id ROWS UNBOUNDED PRECEDING) AS used FROM cues c JOIN m USING (video_id) WHERE end_s >= t - 15 AND start_s <= t + 15),
+b AS (SELECT *, CASE WHEN max(used) OVER (PARTITION BY video_id) > 900 THEN 'budget' ELSE 'window' END AS bound FROM i)
+SELECT video_id, cue_id, CAST(used AS BIGINT) AS used, bound, printf('%d:%02d', CAST(floor(start_s) AS BIGINT) // 60, CAST(floor(start_s) AS BIGINT) % 60) || ' ' || speaker || ': ' || text AS line FROM b WHERE used <= 900""",
+)
+def segment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said within 15 seconds of the twentieth second of two thirds of the videos, in 900 characters at most."""
+    cues = C.cues(spark, sf_dir)
+    moments = cues.where("video_id % 3 <> 0").select("video_id", F.lit(20.0).alias("t")).distinct()
+    found = T.context(cues, moments, before=15.0, after=15.0, budget=900)
+    second = F.floor("start_s")
+    clock = F.format_string("%d:%02d", F.floor(second / 60), second % 60)
+    line = F.concat(clock, F.lit(" "), "speaker", F.lit(": "), "text")
+    return found.select("video_id", "cue_id", "used", "bound", line.alias("line"))

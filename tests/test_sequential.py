@@ -144,3 +144,23 @@ def test_screen_text_joins_its_cue(spark):
         (50.0, "install the driver", 2.0, "transcript"),
         (0.0, "x", 0.5, "ocr"),
     ]
+
+
+def test_context_ends_at_its_budget(spark):
+    rows = [(1, k, float(5 * k), float(5 * k + 4), "x" * (k % 4 + 1)) for k in range(20)] + [(2, 100, 50.0, 51.0, "long" * 9), (3, 200, 0.0, 1.0, "far")]
+    cues = spark.createDataFrame(rows, CUE)
+    moments = spark.createDataFrame([(1, 50.0), (2, 50.0), (3, 50.0), (4, 50.0)], "video_id long, t double")
+    for budget in (0, 7, 10, 1000):
+        want = []
+        for v in (1, 2, 3):
+            near = [r for r in rows if r[0] == v and r[3] >= 35 and r[2] <= 60]
+            used, kept, bound = 0, [], "window"
+            for r in near:
+                if budget and used + len(r[4]) > budget:
+                    bound = "budget"
+                    break
+                used += len(r[4])
+                kept.append((v, r[1], used))
+            want += [(*k, bound) for k in kept]
+        got = T.context(cues, moments, 15.0, 10.0, budget).select("video_id", "cue_id", "used", "bound").collect()
+        assert sorted(tuple(r) for r in got) == want, budget
