@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import tsv
+
 
 def capped(rows: DataFrame, key: str, most: int, order: list[Column]) -> DataFrame:
     """At most ``most`` rows of each key, the first by ``order``; later rows of other keys move up."""
@@ -88,3 +90,18 @@ def replaced(old: DataFrame, new: DataFrame, key: str, seq: str, order: list[str
     """Old rows of keys that don't come again, and the new ones numbered from 0 in each key."""
     numbered = new.withColumn(seq, (F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1).cast("long"))
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(numbered)
+
+
+def resource_lines(rows: DataFrame, columns: list[str], optional: str, order: list[Column], most: int) -> DataFrame:
+    """(place, line): a table as tab-separated lines, the first ``most`` rows by ``order`` below a line of names.
+
+    The last column, ``optional``, is there only if one of these rows has something in it:
+    a column of empty cells would promise what the table doesn't have.
+    """
+    page = rows.orderBy(*order).limit(most).withColumn("place", F.row_number().over(W.orderBy(*order)))
+    shown = F.max((F.coalesce(F.col(optional), F.lit("")) != "").cast("int")).over(W.partitionBy(F.lit(0))) == 1  # ``most`` rows
+    lines = page.withColumn("__plain", tsv(page, columns)).withColumn("__full", tsv(page, [*columns, optional])).withColumn("__shown", shown)
+    body = lines.select("place", F.when(F.col("__shown"), F.col("__full")).otherwise(F.col("__plain")).alias("line"))
+    held = page.agg(F.coalesce(F.max((F.coalesce(F.col(optional), F.lit("")) != "").cast("int")), F.lit(0)).alias("any"))
+    names = held.select(F.lit(0).alias("place"), F.when(F.col("any") == 1, "\t".join([*columns, optional])).otherwise("\t".join(columns)).alias("line"))
+    return names.unionByName(body)

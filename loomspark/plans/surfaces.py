@@ -324,3 +324,36 @@ def hits_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = C.cues(spark, sf_dir).where(F.lower("text").contains("tion"))
     per = hits.groupBy("speaker", "video_id").agg(F.count("*").alias("n"))
     return per.groupBy("speaker").agg(F.sum("n").alias("hits"), F.count("*").alias("videos"))
+
+
+_RESOURCE = r"""s AS (SELECT video_id, bool_or(stage = 'stt' AND state = 'done') AS t, bool_or(stage = 'ocr' AND state = 'done') AS o FROM stages GROUP BY video_id),
+r AS (SELECT v.video_id, regexp_replace(title, '[\t\n\r]', ' ', 'g') AS title, channel, strftime(make_timestamp(({now} - v.video_id * 7919 % 1000 * 86400) * 1000000), '%Y-%m-%d') AS published, duration_s,
+  CASE WHEN t THEN 't' ELSE '-' END || CASE WHEN o THEN 'o' ELSE '-' END AS coverage, {tag} AS tags,
+  row_number() OVER (ORDER BY {now} - v.video_id * 7919 % 1000 * 86400 DESC, v.video_id) AS place FROM videos v LEFT JOIN s USING (video_id))
+SELECT 0 AS place, 'video_id' || chr(9) || 'title' || chr(9) || 'channel' || chr(9) || 'published' || chr(9) || 'duration_s' || chr(9) || 'coverage'{head} AS line
+UNION ALL SELECT CAST(place AS INTEGER), concat_ws(chr(9), video_id, coalesce(title, ''), coalesce(channel, ''), published, coalesce(duration_s::VARCHAR, ''), coverage{cell}) FROM r WHERE place <= 200"""
+
+
+def _resource(spark: SparkSession, sf_dir: str, tag: Column) -> DataFrame:
+    done = lambda stage, letter: F.when(F.bool_or((F.col("stage") == stage) & (F.col("state") == "done")), letter).otherwise("-")
+    covered = C.stages(spark, sf_dir).groupBy("video_id").agg(F.concat(done("stt", "t"), done("ocr", "o")).alias("coverage"))
+    at = F.lit(C.NOW) - F.col("video_id") * 7919 % 1000 * 86400
+    rows = C.videos(spark, sf_dir).drop("text").join(covered, "video_id", "left").withColumns(
+        {"at": at, "published": F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd"), "coverage": F.coalesce("coverage", F.lit("--")), "tags": tag}
+    )
+    columns = ["video_id", "title", "channel", "published", "duration_s", "coverage"]
+    return P.resource_lines(rows, columns, "tags", [F.desc("at"), F.asc("video_id")], 200)
+
+
+@core.query("corpus_resource", f"WITH {C.VIDEOS}, {C.STAGES}, " + _RESOURCE.format(now=C.NOW, tag="''", head="", cell=""))
+def corpus_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 newest videos as a resource; without tags there is no column for them."""
+    return _resource(spark, sf_dir, F.lit(None).cast("string"))
+
+
+@core.query(
+    "corpus_resource_tagged",
+    f"WITH {C.VIDEOS}, {C.STAGES}, " + _RESOURCE.format(now=C.NOW, tag="CASE WHEN v.video_id % 9 = 0 THEN 'series:' || channel ELSE '' END", head=" || chr(9) || 'tags'", cell=", tags"),
+)
+def corpus_resource_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resource(spark, sf_dir, F.when(F.col("video_id") % 9 == 0, F.concat(F.lit("series:"), "channel")))
