@@ -5,7 +5,8 @@ rank its capped candidates inside the scope, fuse ranks, join what two legs say
 one frame, score the words in the text, sort by a total order, cap each video once over all
 legs, cut the page, and only then read what a page shows of its videos.
 
-All of that is one plan; counts along the way are observed while it runs. What
+All of that is one plan, and counts along the way are columns of its rows: a plan
+that Spark cuts short, as it does beyond the last page, still says what it counted. What
 leaves Spark is a page. An empty page says which of five things it means.
 """
 
@@ -15,8 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -150,11 +150,20 @@ def _fused(leg: DataFrame, order: Sequence[Column]) -> DataFrame:
 _HIT = ("source", "frame_id", "video_id", "start_s", "end_s", "text", "score")
 
 
-def _pool(rows: DataFrame, request: Request) -> DataFrame:
-    """The best of a leg: no video more than a few times its share, one hit beyond the pool to tell that it is full."""
+def _pool(rows: DataFrame, request: Request, leg: str) -> DataFrame:
+    """The best of a leg: no video more than a few times its share. ``n_<leg>`` counts them, up to one hit beyond the pool to tell that it is full."""
     share = min(50, max(3 * request.per_video, request.per_video + 2))
     order = [F.desc("score"), F.asc("video_id"), F.asc("start_s")]
-    return capped(rows, "video_id", share, order).orderBy(*order).limit(POOL + 1).select(*_HIT)
+    pool = capped(rows, "video_id", share, order).orderBy(*order).limit(POOL + 1).select(*_HIT)
+    counted = pool.withColumn(f"n_{leg}", F.count("*").over(W.partitionBy(F.lit(0))))  # POOL + 1 rows at most
+    return counted.orderBy(*order).limit(POOL)
+
+
+def _together(pools: Sequence[DataFrame], legs: Sequence[str]) -> DataFrame:
+    """Pools in one table, each row with the counts of all legs: a leg without a row has 0."""
+    names = [f"n_{leg}" for leg in legs]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pools)
+    return every.withColumns({n: F.coalesce(F.max(n).over(W.partitionBy(F.lit(0))), F.lit(0)) for n in names})  # the pools' rows
 
 
 def _transcript(corpus: Corpus, scope: DataFrame, request: Request) -> DataFrame:
@@ -198,7 +207,11 @@ _RUN = {"transcript": _transcript, "ocr": _ocr, "frame": _frame}
 
 
 def _collapsed(hits: DataFrame) -> DataFrame:
-    """What two legs say of one frame is one hit: scores add up, the longer text stays. At most the pools' rows."""
+    """What two legs say of one frame is one hit: scores add up, the longer text stays. At most the pools' rows.
+
+    Other columns are the legs' counts, which all rows share.
+    """
+    counts = [c for c in hits.columns if c not in _HIT]
     alone = hits.where("frame_id IS NULL").withColumn("n_legs", F.lit(1).cast("long"))
     longest = F.max_by("text", F.struct(F.length("text"), "text"))
     met = hits.where("frame_id IS NOT NULL").groupBy("frame_id", "video_id").agg(
@@ -208,6 +221,7 @@ def _collapsed(hits: DataFrame) -> DataFrame:
         longest.alias("text"),
         F.sum("score").alias("score"),
         F.count("*").alias("n_legs"),
+        *[F.max(c).alias(c) for c in counts],
     )
     return alone.unionByName(met.select(*alone.columns))
 
@@ -224,14 +238,6 @@ def _scored(hits: DataFrame, words: Sequence[str]) -> DataFrame:
     return hits.withColumn("__body", spaced(F.col("text"))).withColumns(both).drop("__body")
 
 
-def _count(seen: Observation) -> int:
-    """What was observed; 0 for a leg that Spark found to be empty, as it then drops the leg with its counter."""
-    try:
-        return int(seen.get["n"])
-    except Py4JJavaError:  # an observation without a row
-        return 0
-
-
 def search(spark: SparkSession, corpus: Corpus, request: Request) -> Answer:
     """One page of hits and what they were chosen from."""
     scope = _scope(corpus, request)
@@ -244,24 +250,25 @@ def search(spark: SparkSession, corpus: Corpus, request: Request) -> Answer:
     empty = Answer("nothing_matched" if footing else "no_footing", notes=notes, counts=counts)
     if not legs:
         return empty
-    seen = {leg: Observation(leg) for leg in legs}
-    found = [_pool(_RUN[leg](corpus, scope, request), request).observe(seen[leg], F.count(F.lit(1)).alias("n")) for leg in legs]
-    best = [leg.orderBy(F.desc("score"), "video_id", "start_s").limit(POOL) for leg in found]
-    hits = _scored(_collapsed(reduce(DataFrame.unionByName, best)), request.words)
+    hits = _together([_pool(_RUN[leg](corpus, scope, request), request, leg) for leg in legs], legs)
+    hits = _scored(_collapsed(hits), request.words)
     hits = hits.join(corpus.videos.select("video_id", "channel", "title", "published"), "video_id") if request.order == "recency" else hits
     worth = [F.desc("score"), F.desc("exact"), F.desc("coverage"), F.desc("n_legs")]
     last = [F.asc("video_id"), F.asc("start_s"), F.asc("source"), F.asc_nulls_first("frame_id"), F.asc("text")]
     ahead = {"relevance": [], "recency": [F.desc_nulls_last("published")], "video_time": [F.asc("start_s")]}[request.order]
     order = [*ahead, *worth, *last]
-    total = Observation("total")
-    kept = capped(hits.withColumn("score", F.round("score", 6)), "video_id", request.per_video, order).observe(total, F.count(F.lit(1)).alias("n"))
-    placed = R.ranked(kept, order, "place").where((F.col("place") > request.offset) & (F.col("place") <= request.offset + request.limit))
+    kept = capped(hits.withColumn("score", F.round("score", 6)), "video_id", request.per_video, order)
+    counted = R.ranked(kept, order, "place").withColumn("n_total", F.count("*").over(W.partitionBy(F.lit(0))))  # the pools' rows
+    on_page = (F.col("place") > request.offset) & (F.col("place") <= request.offset + request.limit)
+    placed = counted.where(on_page | (F.col("place") == 1))  # the first says the counts, on whatever page it is
     if request.order != "recency":  # names are read for the page alone
         placed = corpus.videos.select("video_id", "channel", "title", "published").join(F.broadcast(placed), "video_id", "right")
     columns = ["place", "source", "video_id", "channel", "title", "start_s", "end_s", "text", "score", "exact", "coverage", "n_legs"]
-    rows = sorted(placed.select(*columns).collect(), key=lambda r: r["place"])  # ``limit`` rows at most
-    n = {leg: _count(seen[leg]) for leg in legs}
-    counts |= {leg: min(POOL, k) for leg, k in n.items()} | {"total": _count(total)}
+    counters = [f"n_{leg}" for leg in legs]
+    read = sorted(placed.select(*columns, *counters, "n_total").collect(), key=lambda r: r["place"])  # ``limit`` rows at most, and one
+    rows = [r for r in read if request.offset < r["place"] <= request.offset + request.limit]
+    n = {leg: read[0][f"n_{leg}"] if read else 0 for leg in legs}
+    counts |= {leg: min(POOL, k) for leg, k in n.items()} | {"total": read[0]["n_total"] if read else 0}
     full = any(k > POOL for k in n.values())
     if not counts["total"]:
         return empty

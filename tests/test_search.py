@@ -87,3 +87,16 @@ def test_ways_to_find_nothing(spark, corpus):
     assert ask(words=("cache",), channels=("c",)) == ask(words=("cache",), video_ids=()) == "no_video"
     none = S.Corpus(corpus.videos.limit(0), corpus.cues, corpus.cue_index, corpus.lines, corpus.line_index, corpus.frames)
     assert ask(none, words=("cache",)) == "empty_corpus"
+
+
+def test_counts_beyond_the_last_page(spark, corpus):
+    """Videos too many to broadcast: the join of an empty page is dropped as a whole, with whatever was observed below it."""
+    many = corpus.videos.unionByName(spark.range(100, 30_000).selectExpr("id AS video_id", "'z' AS channel", "repeat(cast(id AS string), 9) AS title", "id AS published"))
+    wide = S.Corpus(many, corpus.cues, corpus.cue_index, corpus.lines, corpus.line_index, corpus.frames)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.search(spark, wide, S.Request(words=("cache",), vector=(1.0, 0.0), offset=100_000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found.state == "past_end" and found.rows == [] and not found.has_more
+    assert found.counts == {"videos": 29_903, "transcript": 3, "ocr": 1, "frame": 2, "total": 5}
