@@ -121,3 +121,14 @@ def test_an_index_follows_its_source(spark, tmp_path):
     put([(1, "new words"), (2, "more new words")])
     second = opened()
     assert second.path != first.path and second.postings(["new"]).count() == 2 and second.postings(["old"]).count() == 0
+
+
+def test_slices_grow_with_the_source(spark, tmp_path, monkeypatch):
+    """A task sorts one folder of one slice, and a slice holds so many bytes of source: more source, more slices."""
+    spark.createDataFrame([(i, f"the words of {i}") for i in range(4000)], "id long, t string").write.parquet(f"{tmp_path}/t.parquet")
+    made = []
+    monkeypatch.setattr(I, "build", lambda *args: made.append(args[-1]))
+    size = I.Files(spark).size(f"{tmp_path}/t.parquet")
+    monkeypatch.setattr(I.Files, "size", lambda self, path: size * 200_000)  # as much as a table of gigabytes
+    I.open_or_build(spark, f"{tmp_path}/t.parquet", "id", {"t": F.col("t")}, I.PLAIN)
+    assert made[0] >= size * 200_000 // (256 << 20) >= 20
