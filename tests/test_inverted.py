@@ -123,6 +123,20 @@ def test_an_index_follows_its_source(spark, tmp_path):
     assert second.path != first.path and second.postings(["new"]).count() == 2 and second.postings(["old"]).count() == 0
 
 
+def test_a_batch_is_counted_in_runs_of_whole_rows(monkeypatch):
+    """However many words a batch of rows holds, a worker counts a few of them at a time; one long text is a run of its own."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(I, "WORDS_AT_ONCE", 10)
+    texts = [["a", "b", "a"]] * 9 + [["c"] * 25] + [["b"]] * 12
+    batch = pa.RecordBatch.from_arrays([pa.array(["t"] * len(texts)), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["field", "id", "w"])
+    out = list(I._count_terms(False)(iter([batch.slice(1)])))
+    assert [r for b in out for r in b.to_pylist()] == [
+        {"field": "t", "term": w, "id": i, "tf": t.count(w), "dl": len(t)} for i, t in enumerate(texts) if i for w in sorted(set(t), key=t.index)
+    ]
+    assert len(out) == 6 and max(b.num_rows for b in out) == 10
+
+
 def test_slices_grow_with_the_source(spark, tmp_path, monkeypatch):
     """A task sorts one folder of one slice, and a slice holds so many bytes of source: more source, more slices."""
     spark.createDataFrame([(i, f"the words of {i}") for i in range(4000)], "id long, t string").write.parquet(f"{tmp_path}/t.parquet")
