@@ -6,8 +6,11 @@ one can say where a decision ends, else per key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,30 +41,57 @@ def chunk_bounds(start: np.ndarray, end: np.ndarray, more: bool = False) -> list
     return out
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole stretches in order, many at a time, and where each begins, with the end; one that goes on in the next batch waits for it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        heads = np.flatnonzero(batch.column("__head").to_numpy(zero_copy_only=False))
+        if not len(heads):
+            held.append(batch)
+            continue
+        last = int(heads[-1])
+        if held or last:
+            whole = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            yield whole, np.r_[np.flatnonzero(whole.column("__head").to_numpy()), len(whole)]
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), np.array([0, sum(map(len, held))])
+
+
+def _cut_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, edges in _stretches(batches):
+        start, end = (rows.column(k).to_numpy() for k in ("start_s", "end_s"))
+        says, last = (rows.column(k).to_numpy() for k in ("says", "__last"))
+        at = np.arange(len(rows))
+        first, final = [], []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            at[a:b] = a + np.argsort(start[a:b], kind="stable")  # cues without a time come last
+            o = at[a:b]
+            for i, j in chunk_bounds(start[o], end[o], more=not last[o].any()):
+                if says[o[i : j + 1]].any():
+                    first.append(o[i])
+                    final.append(o[j])
+        i, j = pa.array(first, pa.int64()), pa.array(final, pa.int64())
+        columns = [rows.column(k).take(x) for k, x in (("video_id", i), ("cue_id", i), ("cue_id", j), ("start_s", i), ("end_s", j))]
+        yield from pa.table(columns, names=["video_id", "first_cue", "last_cue", "start_s", "end_s"]).to_batches()
+
+
 def chunk_windows(cues: DataFrame) -> DataFrame:
     """(video_id, chunk, first_cue, last_cue, start_s, end_s): a chunk ends where its last cue does; one without text is left out.
 
     No window holds two cues of which the later ends more than ``CHUNK_S`` after the
     earlier begins. Where neighbours are so far apart a video is cut, and its
-    stretches are worked on one by one: a video's length bounds a group no more, a
-    stretch of speech does.
+    stretches are folded one by one: a task holds a stretch of speech, never a whole
+    video, and a batch of short stretches costs one call.
     """
     order = W.partitionBy("video_id").orderBy("start_s", "cue_id")
     rows = cues.select("video_id", "cue_id", "start_s", "end_s", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("says"))
     apart = F.coalesce(F.col("end_s") - F.lag("start_s").over(order) > CHUNK_S, F.lit(False))
-    last = F.lead("cue_id").over(order).isNull()
-    marked = rows.withColumns({"__cut": apart.cast("int"), "__last": last})
-    stretches = marked.withColumn("__part", F.sum("__cut").over(order.rowsBetween(W.unboundedPreceding, 0)))
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        r = rows.sort_values(["start_s", "cue_id"])
-        s, e, c, says = (r[k].to_numpy() for k in ("start_s", "end_s", "cue_id", "says"))
-        bounds = chunk_bounds(s, e, more=not r["__last"].any())
-        made = [(r["video_id"].iloc[0], c[i], c[j], s[i], e[j]) for i, j in bounds if says[i : j + 1].any()]
-        return pd.DataFrame(made, columns=["video_id", "first_cue", "last_cue", "start_s", "end_s"])
-
+    place = F.row_number().over(order)
+    marked = rows.withColumns({"__n": place, "__head": apart | (place == 1), "__last": F.lead("cue_id").over(order).isNull()})
     shape = "video_id long, first_cue long, last_cue long, start_s double, end_s double"
-    made = stretches.groupBy("video_id", "__part").applyInPandas(cut, shape)
+    # A video's rows lie in one task since the windows, and stretch follows stretch there.
+    made = marked.sortWithinPartitions("video_id", "__n").mapInArrow(_cut_stretches, shape)
     number = F.row_number().over(W.partitionBy("video_id").orderBy("start_s", "first_cue")) - 1
     return made.select("video_id", number.cast("long").alias("chunk"), "first_cue", "last_cue", "start_s", "end_s")
 

@@ -164,3 +164,24 @@ def test_context_ends_at_its_budget(spark):
             want += [(*k, bound) for k in kept]
         got = T.context(cues, moments, 15.0, 10.0, budget).select("video_id", "cue_id", "used", "bound").collect()
         assert sorted(tuple(r) for r in got) == want, budget
+
+
+def test_a_batch_of_stretches_is_cut_at_once(spark):
+    """One call of Python cuts many short videos, and a stretch over several batches stays whole; ids beyond 2**53 and null ones too."""
+    big = 1 << 60
+    rows = [(big + v, big + v * 100 + k, k * 7.0, k * 7.0 + 5.0, "x") for v in range(300) for k in range(8)] + [(None, None, 0.0, 2.0, "x")]
+    rows += [(7, k, k * 2.0, k * 2.0 + 1.0, "" if k % 3 else "x") for k in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        made = S.chunk_windows(spark.createDataFrame(rows, CUE))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        got = made.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for v in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == v), key=lambda r: r[2])
+        bounds = S.chunk_bounds(np.array([r[2] for r in own]), np.array([r[3] for r in own]))
+        want += [(v, n, own[i][1], own[j][1], own[i][2], own[j][3]) for n, (i, j) in enumerate(bounds)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
