@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,44 +55,93 @@ def drift(a: DataFrame, b: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def _matched(ta: np.ndarray, tb: np.ndarray, within: float) -> list[int]:
-    """For each a in order the nearest b that is still free, the earlier of two; -1 where none is near enough."""
-    free, out = np.ones(len(tb), bool), []
-    for t in ta:
-        gaps = np.where(free, np.abs(tb - t), np.inf)
-        k = int(gaps.argmin()) if len(gaps) else -1
-        if k >= 0 and gaps[k] <= within:
-            free[k] = False
-            out.append(k)
-        else:
+    """For each a in order the nearest b that is still free, the earlier of two; -1 where none is near enough. Both are in order of time.
+
+    Taken ones point on to the next free one, and back to the last, so that a look past many of them is a few steps.
+    """
+    n, times = len(tb), tb.tolist()
+    first = np.searchsorted(tb, tb).tolist()  # of equal moments
+    up, down = list(range(n + 1)), list(range(n + 1))  # ``down`` counts from one: 0 says that none is left
+
+    def free(way: list[int], k: int) -> int:
+        while way[k] != k:
+            way[k] = way[way[k]]
+            k = way[k]
+        return k
+
+    out = []
+    for t, k in zip(ta.tolist(), np.searchsorted(tb, ta, side="right").tolist(), strict=True):
+        lo, hi = free(down, k), free(up, k)
+        before, after = t - times[lo - 1] if lo else np.inf, times[hi] - t if hi < n else np.inf
+        if not min(before, after) <= within:
             out.append(-1)
+            continue
+        j = free(up, first[lo - 1]) if before <= after else hi
+        up[j], down[j + 1] = j + 1, j
+        out.append(j)
     return out
 
 
+def _settled(rows: pa.Table, within: float, more: bool) -> tuple[pa.Table, pa.Table]:
+    """(key, a, b, dt, ha, hb) of the a's that no later row can reach, and the rows that still matter: a's left open and the free b's near them.
+
+    Rows lie in order of key and time; those of the last key may go on if there are ``more``.
+    """
+    key, t = rows.column("key"), rows.column("t").to_numpy()
+    is_a = rows.column("is_a").to_numpy()
+    new = np.r_[True, pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy()]
+    with np.errstate(invalid="ignore"):
+        cut = new | ~(np.diff(t, prepend=-np.inf) <= within)
+    own = np.arange(len(t)) >= np.flatnonzero(new)[-1]  # the last key's
+    waits = own & (t[-1] - t <= within) & more
+    partner = np.full(len(t), -1)
+    edges = np.flatnonzero(cut)
+    some = np.add.reduceat(is_a, edges, dtype=np.int64)
+    size = np.diff(np.r_[edges, len(t)])
+    for e in np.flatnonzero((some > 0) & (some < size)):
+        at = np.arange(edges[e], edges[e] + size[e])
+        x, y = at[is_a[at] & ~waits[at]], at[~is_a[at]]
+        met = np.array(_matched(t[x], t[y], within), np.int64)
+        partner[x[met >= 0]] = y[met[met >= 0]]
+    x = np.flatnonzero(is_a & ~waits)
+    y = pa.array(partner[x], mask=partner[x] < 0)
+    dt = pa.array(np.abs(t[partner[x]] - t[x]), mask=partner[x] < 0)
+    of = lambda name, at: rows.column(name).take(at)
+    made = pa.table([of("key", x), of("id", x), of("id", y), dt, of("h", x), of("h", y)], names=["key", "a", "b", "dt", "ha", "hb"])
+    free = ~is_a
+    free[partner[partner >= 0]] = False
+    since = t[waits][0] if waits.any() else np.inf
+    return made, rows.filter(pa.array((waits & is_a) | (free & own & (since - t <= within))))
+
+
+def _paired(within: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, fresh, n = None, [], 0
+        for batch in batches:
+            fresh.append(batch)
+            n += len(batch)
+            # Rows that are kept are looked at again only with as many new ones.
+            if n and (kept is None or n >= len(kept)):
+                made, kept = _settled(pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches(fresh)]).combine_chunks(), within, True)
+                yield from made.to_batches()
+                fresh, n = [], 0
+        rest = [*([kept] if kept else []), *([pa.Table.from_batches(fresh)] if n else [])]
+        if rest:
+            yield from _settled(pa.concat_tables(rest).combine_chunks(), within, False)[0].to_batches()
+
+    return paired
+
+
 def pairs(a: DataFrame, b: DataFrame, key: str, at: str, frame: str, value: Column, within: float = PAIR_S) -> DataFrame:
     """(key, a, b, dt, bits): each frame of ``a`` with its frame of ``b``, and how many bits of their 64-bit hashes differ.
 
     Frames of ``a`` choose in order of time, each among what is left. A choice reaches no farther than
-    ``within``, so a key's frames are cut where neighbours in either series are farther
-    apart, and the stretches are matched one by one.
+    ``within``, so rows go by in order of key and time, a batch of many keys at once, and a task holds no more than
+    a batch and what lies within reach of its end. Frames of no key are left out, a frame without a time has no pair,
+    and one of ``b`` without an id is none.
     """
-    side = lambda rows, is_a: rows.select(key, F.col(at).cast("double").alias("t"), F.col(frame).alias("id"), value.cast("long").alias("h"), F.lit(is_a).alias("is_a"))
-    both = side(a, True).unionByName(side(b, False))
-    order = W.partitionBy(key).orderBy("t", "is_a", "id")
-    far = F.coalesce(F.col("t") - F.lag("t").over(order) > within, F.lit(False)).cast("int")
-    stretches = both.withColumn("__far", far).withColumn("__part", F.sum("__far").over(order.rowsBetween(W.unboundedPreceding, 0)))
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        r = rows.sort_values(["t", "id"])
-        x, y = r[r["is_a"]], r[~r["is_a"]]
-        ta, tb = x["t"].to_numpy(), y["t"].to_numpy()
-        at_b = _matched(ta, tb, within)
-        ids, hashes = y["id"].to_numpy(), y["h"].to_numpy()
-        made = [
-            (k, i, ids[j] if j >= 0 else None, abs(tb[j] - t) if j >= 0 else None, int(np.bitwise_count(np.uint64((int(h) ^ int(hashes[j])) % 2**64))) if j >= 0 else None)
-            for k, i, t, h, j in zip(x[key], x["id"], ta, x["h"], at_b, strict=True)
-        ]
-        out = pd.DataFrame(made, columns=[key, "a", "b", "dt", "bits"])
-        return out.astype({"b": "Int64", "bits": "Int64", "dt": "Float64"})
-
-    kind = dict(both.dtypes)[key]
-    return stretches.groupBy(key, "__part").applyInPandas(match, f"{key} {kind}, a long, b long, dt double, bits int")
+    side = lambda rows, is_a: rows.select(F.col(key).alias("key"), F.col(at).cast("double").alias("t"), F.col(frame).cast("long").alias("id"), value.cast("long").alias("h"), F.lit(is_a).alias("is_a"))
+    both = side(a, True).unionByName(side(b, False).where("t IS NOT NULL AND id IS NOT NULL")).where("key IS NOT NULL")
+    dealt = both.repartition("key").sortWithinPartitions("key", "t", F.asc_nulls_last("id"))
+    made = dealt.mapInArrow(_paired(within), f"key {dict(both.dtypes)['key']}, a long, b long, dt double, ha long, hb long")
+    return made.select(F.col("key").alias(key), "a", "b", "dt", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))).alias("bits"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -105,3 +106,35 @@ def test_drift_and_pairs(spark):
             want |= {(v, k, y[j][1] if j >= 0 else None, (h ^ y[j][2]).bit_count() if j >= 0 and h ^ y[j][2] >= 0 else ((h ^ y[j][2]) % 2**64).bit_count() if j >= 0 else None) for (t, k, h), j in zip(x, at, strict=True)}
         made = L.pairs(frame(a), frame(b), "video_id", "t_s", "frame_id", F.col("phash"), within).collect()
         assert {(r["video_id"], r["a"], r["b"], r["bits"]) for r in made} == want
+
+
+def test_pairs_of_many_keys_go_by_in_batches(spark):
+    """Many short keys and one long one over several batches; rows without a key, a time or an id."""
+    rng = random.Random(3)
+    rows = [(1 << 60 | v, 10 * v + k, rng.randrange(12), rng.randrange(1 << 40)) for v in range(300) for k in range(2)] + [(7, 5000 + k, rng.randrange(300), rng.randrange(1 << 40)) for k in range(400)]
+    rows += [(None, 9000, 3, 1), (None, 9001, 3, 1), (7, 9002, None, 1), (7, 9004, 10**6, 1), (None, 9006, 4, 2)]
+    sides = {True: [r for r in rows if r[1] % 4 < 2], False: [*[r for r in rows if r[1] % 4 >= 2], (7, None, 10**6, 5), (7, 9003, None, 5), (8, 9005, None, 5)]}
+    frame = lambda rows: spark.createDataFrame(rows, "video_id long, frame_id long, t_s long, phash long")
+    want, left = set(), {r for r in sides[False] if None not in r}
+    for v, k, t, h in sorted((r for r in sides[True] if r[0] is not None), key=lambda r: (r[2] is None, r[2], r[1])):
+        near = [(abs(r[2] - t), r[2], r[1], r) for r in left if r[0] == v and abs(r[2] - t) <= 5] if t is not None else []
+        if near:
+            dt, _, i, r = min(near)
+            left.remove(r)
+        want.add((v, k, i, float(dt), (h ^ r[3]).bit_count()) if near else (v, k, None, None, None))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        made = L.pairs(frame(sides[True]), frame(sides[False]), "video_id", "t_s", "frame_id", F.col("phash"), 5.0)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in made.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and set(got) == want
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_a_crowd_of_moments_is_matched_in_little_time():
+    at = np.arange(60_000.0)
+    began = time.process_time()
+    assert L._matched(at, at + 0.25, 3600.0) == list(range(60_000)) and L._matched(np.zeros(60_000), at[::-1] * 0, 1.0) == list(range(60_000))
+    assert time.process_time() - began < 10
