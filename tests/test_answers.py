@@ -138,3 +138,65 @@ def test_a_crowd_of_moments_is_matched_in_little_time():
     began = time.process_time()
     assert L._matched(at, at + 0.25, 3600.0) == list(range(60_000)) and L._matched(np.zeros(60_000), at[::-1] * 0, 1.0) == list(range(60_000))
     assert time.process_time() - began < 10
+
+
+def snippet_by_hand(text, terms):
+    """FTS5's own steps over the words of one column."""
+    found = list(re.finditer(r"[^\W_]+", text))
+    words, size = [m.group().lower() for m in found], 64
+    hits = [(k, w) for k, w in enumerate(words) if w in terms]
+    if not hits:
+        return text
+    opens = [0]
+    for k in range(1, len(found)):
+        before = text[: found[k].start()]
+        bare = before.rstrip(" \t\n\r")
+        if bare != before and bare[-1] in ".:":
+            opens.append(k)
+
+    def score(pos):
+        seen, total, inside = set(), 0, []
+        for k, w in hits:
+            if pos <= k < pos + size:
+                total += 1 if w in seen else 1000
+                seen.add(w)
+                inside.append(k)
+        shift = inside[0] - (size - (inside[-1] + 1 - inside[0])) // 2 if inside else 0
+        return total, max(0, min(shift, len(words) - size))
+
+    best, begin = 0, 0
+    for k, _ in hits:
+        total, at = score(k)
+        if total > best:
+            best, begin = total, at
+        if len(words) > size:
+            s = max(o for o in opens if o <= k)
+            total = score(s)[0] + (120 if s == 0 else 100)
+            if s < k and total > best:
+                best, begin = total, s
+    until = begin + size
+    body = text[found[begin].start() if begin else 0 : found[until - 1].end() if until < len(words) else len(text)]
+    return " … " * (begin > 0) + body + " … " * (until < len(words))
+
+
+def test_snippets(spark):
+    rng = random.Random(12)
+    texts = ["", "...", "no word of it", "The", " the end. ", "x " * 70 + "the", "the " + "x " * 70, "x " * 63 + "the", "x " * 64 + "the.", "a: The b", ("x " * 80 + "the ") * 3 + "cat", "x. " * 65 + "the", "x  the. \x85The " + "y " * 90]
+    for _ in range(150):
+        rare, n = rng.choice([0.005, 0.03, 0.3]), rng.randrange(1, 400)
+        texts.append("".join(rng.choice(["", "(", "\n"]) * (k == 0) + (rng.choice(["the", "The", "cat", "été"]) if rng.random() < rare else rng.choice(["x", "thé", "theme", "42"])) + rng.choice([" "] * 12 + [". ", ": ", ".\n", ".", "-", " (", "! ", ".  \t", "… "]) for k in range(n)))
+    for terms in (["the", "cat", "été"], ["cat"], ["the", "missing"]):
+        rows = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, text string").select("k", A.snippet(F.col("text"), terms).alias("s")).collect()
+        assert [r["s"] for r in sorted(rows)] == [*(snippet_by_hand(t, terms) for t in texts), None]
+
+
+def test_every_row_of_the_page_has_a_snippet(spark, tmp_path):
+    """Also one that only another term than the first has found."""
+    from loomspark.plans import catalogue
+
+    tail = " filler" * 90
+    rows = [(1, "Said THEA, once." + tail), (2, "the" + tail + " Queaux" + " z" * 40), (3, "none"), (4, None), (5, "Queaux!")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["snippet"] for r in catalogue.load().functions()["snippet"](spark, str(tmp_path)).collect()}
+    assert got == {k: snippet_by_hand(t, ["the", "thea", "queaux"]) for k, t in rows if k in (1, 2, 5)}
+    assert got[1].startswith("Said THEA, once. filler") and got[1].endswith("filler … ") and got[5] == "Queaux!"
